@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, quality_model, quality_rules, token_counts
+from tickloom.llm import bpe, quality_model, quality_rules, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -38,7 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_classifier, op7_quality_rules, op8_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op10_bpe)}
 
 
 SQL_WORDS = r"""
@@ -50,6 +57,17 @@ SQL_WORDS = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": SQL_WORDS
+        + r"""
+  , win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13)
+  , keyed AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM win)
+  , late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM keyed) WHERE first < doc_id)
+  , off AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM late)
+  , offs AS (SELECT doc_id, list(p) AS ps FROM off GROUP BY doc_id)
+  , each AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w)
+  , left_over AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.p) AS kept FROM each ANTI JOIN off ON each.doc_id = off.doc_id AND each.p = off.p GROUP BY each.doc_id)
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN offs USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
         "op7_quality_rules": SQL_WORDS
         + r"""
   , win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3)
