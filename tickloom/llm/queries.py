@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, quality_model, quality_rules, substring, token_counts
+from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
 
 
 SQL_WORDS = r"""
@@ -88,4 +93,18 @@ def oracle_sql() -> dict[str, str]:
          NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
               OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
   FROM m""",
+        "op9_decontamination": r"""
+  WITH low AS (SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+               UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark)
+  , w AS (SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM low)
+  , items AS (SELECT id AS item_id, ws, least(len(ws), 10) AS size FROM w WHERE kind = 'b' AND len(ws) > 0)
+  , iw AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM items))
+  , sizes AS (SELECT DISTINCT size FROM items)
+  , dw AS (SELECT id AS doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS k FROM (SELECT w.id, w.ws, sizes.size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, sizes WHERE kind = 'd' AND len(ws) >= size))
+  , m AS (SELECT dw.doc_id, dw.i, dw.size, iw.item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.size = iw.size)
+  , hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM m) GROUP BY doc_id)
+  , its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+  SELECT w.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+         sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM w LEFT JOIN hit ON w.id = hit.doc_id LEFT JOIN its ON w.id = its.doc_id WHERE kind = 'd'""",
     }
