@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, token_counts
+from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -50,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
 
 
 SQL_WORDS = r"""
@@ -73,6 +78,19 @@ def oracle_sql() -> dict[str, str]:
   , left_over AS (SELECT each.doc_id, string_agg(x, ' ' ORDER BY each.p) AS kept FROM each ANTI JOIN off ON each.doc_id = off.doc_id AND each.p = off.p GROUP BY each.doc_id)
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
   FROM w LEFT JOIN offs USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
+        "op4_suffix_dedup": r"""
+  WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)
+  , win AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS k FROM (SELECT *, unnest(range(0, n - 99)) AS p FROM b WHERE n >= 100))
+  , late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM win) WHERE r > 1)
+  , ranges AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS z FROM (
+      SELECT doc_id, p, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (
+        SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS gap FROM late)) GROUP BY doc_id, g)
+  , gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM ranges)
+  , per AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(z) AS tail FROM ranges GROUP BY doc_id)
+  , heads AS (SELECT gaps.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM gaps JOIN b USING (doc_id) GROUP BY gaps.doc_id)
+  SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+         sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+  FROM b LEFT JOIN per USING (doc_id) LEFT JOIN heads USING (doc_id)""",
         "op7_quality_rules": SQL_WORDS
         + r"""
   , win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3)
