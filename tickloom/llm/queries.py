@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, suffix_dedup, token_counts
+from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
@@ -55,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_warc, op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
 
 
 SQL_WORDS = r"""
@@ -67,6 +71,15 @@ SQL_WORDS = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": r"""
+  WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages)
+  , d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+  , bits AS (SELECT *, list_reduce(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(x, 1 + (5 * k // 4)::INT, 3 - CASE WHEN 5 * k // 4 >= 38 THEN 1 ELSE 0 END))::INT
+           * CASE WHEN 5 * k // 4 >= 38 THEN 16 ELSE 1 END) >> (7 - (5 * k) % 4)::INT) % 32, 1)), lambda a, b: a || b) AS payload_digest FROM d)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+         CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+  FROM bits""",
         "op3_substring_dedup": SQL_WORDS
         + r"""
   , win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13)
