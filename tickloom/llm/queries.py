@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, quality_model, quality_rules, substring, suffix_dedup, token_counts, warc
+from tickloom.llm import bpe, decontam, quality_model, quality_rules, simhash, substring, suffix_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
@@ -59,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
 
 
 SQL_WORDS = r"""
