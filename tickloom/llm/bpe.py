@@ -233,3 +233,18 @@ def digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, decoded_sha256, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(tokenizer_file)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [c.encode(t) for t in text_column(part).to_pylist()]
+                texts = [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+
+    rows = narrowed(docs, doc_id=id_col, text=text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_sha256 string")

@@ -86,7 +86,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tupl
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted array of the ids of items with occurring windows), one row per row of ``docs``."""
+    """doc_id, n_words, n_hit, items (sorted array of the ids of items with occurring windows), key (xxhash64 of the text), one row per row of ``docs``."""
     rows = narrowed(docs, id=id_col, text=text_col)
     at, items = occurrences(rows, benchmark, window)
     wanted = at.groupBy("id", "key").agg(F.collect_list(F.struct("start", "len", "window")).alias("found")).withColumnsRenamed({"id": "id_", "key": "key_"})
@@ -103,4 +103,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     hit = base.where("n_hit > 0").select("id", "key", F.explode("windows").alias("window")).join(items.distinct(), "window").groupBy("id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     hit = hit.withColumnsRenamed({"id": "id_", "key": "key_"})
     out = base.join(hit, F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, quality_model, quality_rules, simhash, substring, suffix_dedup, token_counts, warc
+from tickloom.llm import bpe, decontam, quality_model, quality_rules, simhash, substring, suffix_dedup, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v1").alias("kept"))
@@ -64,7 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_dedup, op5_quality_classifier, op6_toxicity, op7_quality_rules, op8_token_counts, op9_decontamination, op10_bpe)}
 
 
 SQL_WORDS = r"""

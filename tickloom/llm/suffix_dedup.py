@@ -262,10 +262,10 @@ def sort_suffixes(length: int):
 
 
 def left_schema(docs: pa.Table) -> pa.Schema:
-    return pa.schema([docs.schema.field("doc_id"), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    return pa.schema([docs.schema.field("doc_id"), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), docs.schema.field("rest")])
 
 
-def remove(docs: pa.Table, noted: pa.Table) -> pa.Table:
+def remove(docs: pa.Table, noted: pa.Table, whole: bool = False) -> pa.Table:
     table = longs(noted, "longs", 4)
     if table.shape[1]:
         table = merged(*table)
@@ -284,25 +284,27 @@ def remove(docs: pa.Table, noted: pa.Table) -> pa.Table:
                 for a, b in off:
                     rest.append(text[at:a])
                     at = b
-                kept.append(b"".join([*rest, text[at:]]) if off else text)
+                left = b"".join([*rest, text[at:]]) if off else text
+                kept.append(left.decode(errors="ignore").encode() if whole and off else left)
             schema = left_schema(docs)
-            out.append(pa.table([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema))
+            out.append(pa.table([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(found, schema.field("spans").type), pa.array(kept, pa.binary()), part.column("rest")], schema=schema))
     return pa.concat_tables(out)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed byte ranges), kept (the remaining bytes), one row per row of ``docs``.
+def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed byte ranges), kept (the remaining bytes), rest, one row per row of ``docs``.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a smaller document, or earlier in the same one.
+    ``carry``: columns of ``docs`` that come back as the fields of ``rest``. ``whole``: bytes left of characters that were cut are left out.
     """
     rows = docs.count()
     blocks, buckets = max(8, -(-rows // block_rows)), max(16, -(-rows // bucket_rows))
-    kind = docs.schema[id_col].dataType.simpleString()
-    dealt = narrowed(docs, doc_id=id_col, text=text_col).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("key", F.xxhash64("text"))
+    dealt = narrowed(docs, doc_id=id_col, text=text_col, rest=F.struct(*carry) if carry else F.lit(True)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).withColumn("key", F.xxhash64("text"))
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    kind = dict(dealt.dtypes)
     sent = dealt.groupBy("block").applyInArrow(send(length, k, buckets), "bucket long, block long, runs binary, docs binary")
     told = sent.groupBy("bucket").applyInArrow(compare, "block long, gone binary, asked binary")
     noted = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(note(length, k, buckets), NOTED), "noted")
     found = noted.where("kind = 1").groupBy("bucket").applyInArrow(sort_suffixes(length), "block long, longs binary")
     noted = noted.where("kind = 0").select("block", "longs").unionByName(found)
-    return dealt.groupBy("block").cogroup(noted.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return dealt.groupBy("block").cogroup(noted.groupBy("block")).applyInArrow(lambda a, b: remove(a, b, whole), f"doc_id {kind['doc_id']}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, rest {kind['rest']}")
