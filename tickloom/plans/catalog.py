@@ -1,4 +1,7 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that must give the same rows."""
+"""Queries over the driver's tables, at least one for each operator, with the SQL that must give the same rows.
+
+The modules ``market`` and ``models`` hold the queries; each gives name, function and SQL (None where SQL can't say it).
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.plans import market
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def entries() -> dict[str, tuple[Query, str | None]]:
+    return {**market.ENTRIES}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Hourly bars to filtered events, barrier labels and their uniqueness."""
+    return market.flagship(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in entries().items() if sql is not None}
