@@ -9,13 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import market
+from tickloom.plans import market, models
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def entries() -> dict[str, tuple[Query, str | None]]:
-    return {**market.ENTRIES}
+    return {**market.ENTRIES, **models.ENTRIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
