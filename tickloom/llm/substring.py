@@ -29,7 +29,7 @@ from tickloom.llm.arrays import MULTIPLIERS, Rolling, U, joined, slices, text_co
 from tickloom.llm.tables import narrowed
 
 BLOCK_ROWS = 1500
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 4000
 LOWEST = -(1 << 63)
 _windows = Rolling(MULTIPLIERS[1])
 
@@ -70,7 +70,7 @@ def send(window: int, buckets: int):
         distinct = keys[order][start]
         names, index = np.unique(least, return_inverse=True)
         bucket = distinct % U(buckets)
-        deal = np.argsort(bucket, kind="stable")
+        deal = np.lexsort((index, bucket))
         cut = np.searchsorted(bucket[deal], np.arange(buckets + 1, dtype=U))
         full = np.flatnonzero(np.diff(cut))
         block = table.column("block")[0].as_py()
@@ -87,14 +87,19 @@ def send(window: int, buckets: int):
 
 
 def packed(names: np.ndarray, index: np.ndarray) -> bytes:
-    """Ids as positions in a table of those that occur: count, ids, positions."""
-    used, at = np.unique(index, return_inverse=True)
-    return np.int64(len(used)).tobytes() + names[used].tobytes() + at.astype(np.uint16 if len(used) <= 65535 else np.uint32).tobytes()
+    """Ids of ascending places in ``names``: number of distinct ones, width, the smallest, distances from it, how often each occurs."""
+    used, many = np.unique(index, return_counts=True)
+    own = names[used]
+    width = 4 if int(own[-1]) - int(own[0]) < 1 << 32 else 8
+    away = (own - own[:1]).view(U).astype(np.uint32 if width == 4 else U)
+    small = np.uint16 if many.max() < 1 << 16 else np.uint32
+    return np.array([len(used), width, small().itemsize, own[0]], np.int64).tobytes() + away.tobytes() + many.astype(small).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    return np.frombuffer(data, np.int64, n, 8)[np.frombuffer(data, np.uint16 if n <= 65535 else np.uint32, offset=8 + 8 * n)]
+    n, width, small, least = np.frombuffer(data, np.int64, 4).tolist()
+    away = np.frombuffer(data, np.uint32 if width == 4 else U, n, 32).astype(U).view(np.int64)
+    return np.repeat(away + np.int64(least), np.frombuffer(data, np.uint16 if small == 2 else np.uint32, n, 32 + width * n))
 
 
 def compare(table: pa.Table) -> pa.Table:

@@ -83,7 +83,7 @@ def send(length: int, k: int, buckets: int):
         both = pair(h, c)
         order = np.lexsort((of, both))
         order = order[starting(both[order])]
-        order = order[np.argsort(h[order] % U(buckets), kind="stable")]
+        order = order[np.lexsort((of[order], h[order] % U(buckets)))]
         cut = np.searchsorted(h[order] % U(buckets), np.arange(buckets + 1, dtype=U))
         full = np.flatnonzero(np.diff(cut))
         names, index = np.unique(of[order], return_inverse=True)
