@@ -147,8 +147,7 @@ def get_test_data(spark: SparkSession, n_features: int = 40, n_informative: int
     """ts, t1, label, weight and features I_* (informative), R_* (combinations of these), N_* (noise)."""
     rng = np.random.default_rng(seed)
     y = rng.integers(0, 2, n_samples)
-    centre = rng.choice([-1.0, 1.0], size=(2, n_informative))
-    info = centre[y] + rng.standard_normal((n_samples, n_informative))
+    info = (2.0 * y[:, None] - 1) * rng.choice([-1.0, 1.0], size=n_informative) + rng.standard_normal((n_samples, n_informative))
     redundant = info @ rng.uniform(-1, 1, (n_informative, n_redundant))
     noise = rng.standard_normal((n_samples, n_features - n_informative - n_redundant))
     names = [f"I_{i}" for i in range(n_informative)] + [f"R_{i}" for i in range(n_redundant)] + [f"N_{i}" for i in range(noise.shape[1])]
