@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,7 @@ class Machine:
         found = [units(t) for t in texts]
         out, waiting, new = [], [], set()
         for f in found:
-            new |= f - self.memo.keys()
+            new |= f.difference(self.memo)
             waiting.append(f)
             if len(new) > CHUNK:
                 out += self.judged(waiting, new)
@@ -183,21 +184,24 @@ class Machine:
 
 
 def unit_counts(texts: DataFrame) -> DataFrame:
-    """unit, n (texts that have it), toxic (those labelled so), from rows with text and y."""
+    """unit, n (texts that have it), toxic (those labelled so), from rows with text and y.
+
+    Copies and near copies would make all their units look typical, so texts with the same smallest unit hash count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                n: dict[bytes, int] = {}
-                bad: dict[bytes, int] = {}
+                found, kind, label = [], [], []
                 for text, y in zip(text_column(part).cast(pa.binary()).to_pylist(), part.column("y").to_pylist(), strict=True):
-                    for u in units(text):
-                        n[u] = n.get(u, 0) + 1
-                        if y:
-                            bad[u] = bad.get(u, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([bad.get(u, 0) for u in n], pa.int64())], ["unit", "n", "toxic"])
+                    u = units(text)
+                    found += u
+                    kind += [min(map(crc32, u), default=0)] * len(u)
+                    label += [y] * len(u)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(kind, pa.int64()), pa.array(label, pa.int32())], ["unit", "kind", "y"])
 
-    return texts.select("text", "y").mapInArrow(run, "unit binary, n long, toxic long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    each = texts.select("text", "y").mapInArrow(run, "unit binary, kind long, y int").groupBy("unit", "kind").agg(F.round(F.avg("y")).cast("long").alias("toxic"))
+    return each.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
 
 
 def chosen(rows: np.ndarray, most: int) -> list[int]:
@@ -212,19 +216,28 @@ def chosen(rows: np.ndarray, most: int) -> list[int]:
     return at
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, support: np.ndarray, cost: float = 10.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method; classes weigh the same in total."""
+def squared_hinge(x: np.ndarray, y: np.ndarray, support: np.ndarray, cost: float = 10.0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method with halved steps where a whole one does not help; classes weigh the same in total."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     weigh = np.where(y > 0, 0.5 / support[y > 0].sum(), 0.5 / support[y < 0].sum()) * support * len(y) * cost
-    w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
-    ridge[-1, -1] = 1e-6
+    ridge = np.full(x1.shape[1], 1.0)
+    ridge[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        return float((ridge * w * w).sum() + (weigh * np.maximum(1 - y * (x1 @ w), 0) ** 2).sum())
+
+    w = np.zeros(x1.shape[1])
+    now = loss(w)
     for _ in range(steps):
         active = y * (x1 @ w) < 1
         a, c = x1[active], weigh[active]
-        new = np.linalg.solve(ridge + a.T @ (a * c[:, None]), a.T @ (c * y[active]))
-        if np.abs(new - w).max() < 1e-7:
+        step = np.linalg.solve(np.diag(ridge) + a.T @ (a * c[:, None]), a.T @ (c * y[active])) - w
+        size = 1.0
+        while size > 1e-4 and (then := loss(w + size * step)) > now:
+            size /= 2
+        if size <= 1e-4 or now - then < 1e-9 * now:
             break
-        w = new
+        w, now = w + size * step, then
     return w[:-1], float(w[-1])
 
 
@@ -254,8 +267,9 @@ def trained(found: list[tuple[bytes, int, int]], share: float, hard: frozenset[b
     marks = [bad[i] for i in half[0]] + [fine[i] for i in half[1]]
     z, codes = features(marks)
     k = np.concatenate([features(strings[i : i + 1024], codes)[0] @ z.T for i in range(0, len(strings), 1024)])
-    values, vectors = np.linalg.eigh(z @ z.T)
-    root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    values, vectors = np.linalg.eigh((z @ z.T).astype(float))
+    clear = values > 1e-3 * values[-1]  # directions that the landmarks determine
+    root = vectors[:, clear] / np.sqrt(values[clear])
     w, bias = squared_hinge(k @ root, y, np.array([support[u] for u in strings]))
     weights = np.zeros(LETTERS**3)
     weights[codes] = z.T @ (root @ w)
