@@ -208,7 +208,7 @@ def test_suffix_dedup_of_periods_and_overlaps(spark):
 def test_gray_index():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
-    flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 4)).astype(np.uint64)) if True else 0 for _ in range(600)], np.uint64)
+    flips = np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 4)).astype(np.uint64)) for _ in range(600)], np.uint64)
     codes = np.unique(centre[rng.integers(0, 30, 600)] ^ flips)
     got = {(int(a), int(b)) for q, c in GrayIndex(codes).within(codes, 2, chunk=64) for a, b in zip(q, c, strict=True)}
     d = np.bitwise_count(codes[:, None] ^ codes)

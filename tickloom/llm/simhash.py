@@ -202,16 +202,22 @@ def candidates(codes: DataFrame, rows: int) -> DataFrame:
             out.append(np.stack([at[1:][same], at[:-1][same]]))
             own, begin = np.unique(code[at], return_index=True)
             speaker = at[begin]
-            pairs = [(a[a != b], b[a != b]) for a, b in GrayIndex(own).within(own, 2)]
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            close = np.bitwise_count(check[speaker[a]] ^ check[speaker[b]]) <= CHECK
-            a, b = a[close], b[close]
-            degree = np.bincount(a, minlength=len(own))
-            for rank in (-degree[b], node[speaker[b]]):
-                order = np.lexsort((rank, a))
-                lead = np.ones(len(order), bool)
-                lead[1:] = a[order][1:] != a[order][:-1]
-                out.append(np.stack([speaker[a[order][lead]], speaker[b[order][lead]]]))
+            index, degree = GrayIndex(own), np.zeros(len(own), np.int64)
+
+            def neighbours(index=index, own=own, speaker=speaker):
+                # All neighbours of a code come in one chunk, so a large cluster is never held as a whole.
+                for a, b in index.within(own, 2):
+                    close = (a != b) & (np.bitwise_count(check[speaker[a]] ^ check[speaker[b]]) <= CHECK)
+                    yield a[close], b[close]
+
+            for a, _ in neighbours():
+                degree += np.bincount(a, minlength=len(own))
+            for a, b in neighbours():
+                for rank in (-degree[b], node[speaker[b]]):
+                    order = np.lexsort((rank, a))
+                    lead = np.ones(len(order), bool)
+                    lead[1:] = a[order][1:] != a[order][:-1]
+                    out.append(np.stack([speaker[a[order][lead]], speaker[b[order][lead]]]))
         a, b = np.concatenate(out, axis=1)
         apart = np.bitwise_count(check[a] ^ check[b]).astype(np.int64)
         some = apart <= CHECK
