@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("short_words_mean", "word_chars < 2 * n_words"),
     ("long_words_mean", "word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("duplicate_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     ("upper_case", "2 * n_upper > word_chars"),
     ("marked_words", "10 * n_marked_words > 3 * n_words"),
     ("few_distinct_words", "20 * n_distinct_words < n_words"),

@@ -132,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-              OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+              OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)) AS kept
   FROM m""",
         "op9_decontamination": r"""
   WITH low AS (SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
