@@ -631,6 +631,32 @@ def effective_trials(spark, d):
     return redundancy.get_effective_trials(returns(spark, d).withColumnRenamed("k", "trial"), seed=42)
 
 
+@query()
+def deflated_sharpe_clustered(spark, d):
+    trials = returns(spark, d).withColumnRenamed("k", "trial")
+    return spark.createDataFrame([(redundancy.deflated_sharpe_ratio_clustered(0.5, trials, 252, seed=42),)], "dsr double")
+
+
+@query()
+def hrp_tree(spark, d):
+    """The steps of the hierarchical allocation: order of the leaves and weights."""
+    cov = feature_cov(spark, d)
+    order = portfolio.get_quasi_diag(portfolio.tree_clustering(portfolio.cov2corr(cov)))
+    w = portfolio.get_rec_bipart(cov, order)
+    return spark.createDataFrame([(place, item, float(w[item]), portfolio.get_cluster_var(cov, order[: place + 1])) for place, item in enumerate(order)], "place int, asset int, weight double, head_var double")
+
+
+@query()
+def max_noise_eigenvalue(spark, d):
+    values, _ = portfolio.get_pca(portfolio.cov2corr(feature_cov(spark, d)))
+    return spark.createDataFrame([portfolio.find_max_eval(values, 500 / 12, 0.05)], "e_max double, var double")
+
+
+@query()
+def roll_prices(spark, d):
+    return market.futures.roll_and_rebase(market.contract_days(spark, d)).select("ts", "returns", F.col("r_prices").isNotNull().alias("priced"))
+
+
 @query()
 def feat_imp_mdi(spark, d):
     rows, names = vectors(spark, d, 6)
