@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from tickloom.llm.arrays import slices, text_column
 from tickloom.llm.tables import narrowed
 
-MEMO = 500_000
+MEMO = 300_000
 #: Characters on which Unicode versions and lower-casing agree; texts with others are normalised and split by the library.
 OTHER = re.compile("[^\x00-ͯ‐-⁞]")
 END = "￿"

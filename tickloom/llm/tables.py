@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
@@ -30,6 +32,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session send at most ARROW_BYTES to a Python worker at once; long texts make batches of rows large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) not in range(1, ARROW_BYTES + 1):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def narrowed(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """Only the named inputs, under internal names, so that further columns of the caller can't clash."""
+    """Only the named inputs, under internal names, so that further columns of the caller can't clash; in batches of bounded size."""
+    bound_batches(df.sparkSession)
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])

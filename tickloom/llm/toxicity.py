@@ -49,7 +49,7 @@ MININGS = 2
 LONGEST = 24
 LETTERS = 64
 POSITIVES, NEGATIVES, LANDMARKS = 2000, 6000, 384
-MEMO = 400_000
+MEMO = 200_000
 CHUNK = 1 << 14
 
 #: Digits and signs that stand for letters.
@@ -276,19 +276,24 @@ def trained(found: list[tuple[bytes, int, int]], share: float, hard: frozenset[b
     return Machine(weights, bias)
 
 
-def decided(docs: DataFrame, machine: Machine, kept: str) -> DataFrame:
-    """``docs`` (doc_id, text, ...) to doc_id, the column ``kept`` and decision."""
+def decided(docs: DataFrame, machine: Machine, kept: tuple[str, ...]) -> DataFrame:
+    """``docs`` (doc_id, text, ...) to doc_id, the columns ``kept`` and decision. What a task learns of words it forgets at its end."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # LETTERS**3 weights, whatever the input
+    out = list(dict.fromkeys(["doc_id", *kept]))
+    rows = docs.select(*dict.fromkeys([*out, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
-            for part in slices(batch):
-                d = m.decisions(text_column(part).cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d, pa.float64())], ["doc_id", kept, "decision"])
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    d = m.decisions(text_column(part).cast(pa.binary()).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(d, pa.float64())], [*out, "decision"])
+        finally:
+            m.memo.clear()
 
-    rows = docs.select("doc_id", kept, "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kept} {rows.schema[kept].dataType.simpleString()}, decision double")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in out), "decision double"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
@@ -312,13 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
         if machine is None or again == MININGS:
             break
         # Units of texts that aren't toxic which the machine takes for insults: the most frequent ones join the training.
-        mistaken = decided(counts.where("n > toxic AND 3 * toxic < 2 * n").select(F.col("n").alias("doc_id"), F.struct("unit", "toxic").alias("of"), F.col("unit").cast("string").alias("text")), machine, "of")
+        mistaken = decided(counts.where("n > toxic AND 3 * toxic < 2 * n").select(F.col("n").alias("doc_id"), F.struct("unit", "toxic").alias("of"), F.col("unit").cast("string").alias("text")), machine, ("of",))
         for r in mistaken.where(F.col("decision") > 0.5 * FLOOR).orderBy(F.desc("doc_id"), "of.unit").limit(NEGATIVES // 2).collect():
             found[bytes(r["of"]["unit"])] = r["doc_id"], r["of"]["toxic"]
             hard.add(bytes(r["of"]["unit"]))
     if machine is None:
         return none
-    seen = decided(texts, machine, "y").select("y", "decision").toPandas()
+    seen = decided(texts, machine, ("y",)).select("y", "decision").toPandas()
     machine.slope, machine.shift = curve(seen["decision"].to_numpy(), seen["y"].to_numpy())
     machine.memo.clear()
     return machine
@@ -331,5 +336,5 @@ def scores(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFra
         out = rows.select("doc_id", "held_out", F.lit(machine.prior).alias("score"))
     else:
         score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("decision") * machine.slope + machine.shift)))
-        out = decided(rows, machine, "held_out").select("doc_id", "held_out", score.alias("score"))
+        out = decided(rows, machine, ("held_out",)).select("doc_id", "held_out", score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
