@@ -269,6 +269,27 @@ def test_near_duplicates(spark):
     assert [got.get(i, i) for i in range(len(rows))] == want
 
 
+def joined_as(texts, spark):
+    """(roots found, roots by comparing all pairs of texts of five words or more)."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.translate(LOWER).split(" ") for t in texts)]
+    got = {r["node"]: r["root"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [got.get(i, i) for i in range(len(texts))], reach(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_near_duplicates_in_a_family_of_a_template(spark):
+    # Any two texts are at 0.78 by their template; one in five has a true copy among them.
+    rng = random.Random(9)
+    template, texts = sentence(rng, 171).split(" "), []
+    for i in range(900):
+        own = sentence(rng, 19).split(" ")
+        texts.append(" ".join(template[:86] + own + template[86:]))
+        if i % 5 == 0:
+            own[rng.randrange(19)] = "edit"
+            texts.append(" ".join(template[:86] + own + template[86:]))
+    got, want = joined_as(rng.sample(texts, len(texts)), spark)
+    assert got == want and len(set(want)) == 900
+
+
 def test_decontamination(spark, docs, nothing, texts):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: split.findall((t or "").translate(LOWER))

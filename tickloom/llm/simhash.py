@@ -137,25 +137,10 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
 
 # Near-duplicates by the similarity of their shingle sets.
 
-TABLES = 24
-SUB_BITS = 32
-CHECK = 20
-
-
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` (node, text) to node, subs (TABLES codes of SUB_BITS bits), check (one code of 64 bits), from the set of shingles."""
-    words_ = -(-TABLES * SUB_BITS // 64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                h, many = set_hashes(part, shingle)
-                codes = [majorities(mix(h + U((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), many) for i in range(words_ + 1)]
-                subs = np.stack(codes[:-1], 1).view(np.uint32).reshape(len(many), -1)[:, :TABLES].astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * TABLES), pa.array(subs.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(codes[-1].view(np.int64))], ["node", "subs", "check"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, subs array<long>, check long")
+BINS = 1 << 22
+PREFIX_ROWS = 200_000
+WIDER = 16
+PAIRS = 1 << 18
 
 
 def set_hashes(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,49 +166,111 @@ def set_hashes(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]
     return out[new], np.bincount(row[new], minlength=len(n))
 
 
-def candidates(codes: DataFrame, rows: int) -> DataFrame:
-    """Pairs (a, b, apart) of nodes some of whose sub-codes are within 2 bits: of each sub-code's neighbours that with most neighbours and that with the smallest node."""
-    masks = cut(SUB_BITS, 3)
-    part = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)]))
-    each = codes.select("node", "check", F.posexplode("subs").alias("table", "code")).select("node", "check", "table", "code", part.alias("p"))
-    buckets = max(16, -(-3 * TABLES * rows // (8 * BUCKET_ROWS)))
-    bucket = F.pmod(F.xxhash64("table", "p.part", F.col("code").bitwiseAND(F.col("p.mask"))), F.lit(buckets)).alias("bucket")
-    each = each.select("node", "check", (F.col("table") * 3 + F.col("p.part")).alias("table"), "code", bucket)
+def frequent(texts: DataFrame, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bins of shingle hashes that some task met far more often than others, their counts, rows that ``prefixes`` makes)."""
 
-    def connect(batch: pa.Table) -> pa.Table:
-        node, check, table, code = (batch.column(c).to_numpy() for c in ("node", "check", "table", "code"))
-        check, code = check.view(U), code.astype(U)
-        out = [np.empty((2, 0), np.int64)]
-        for t in np.unique(table):
-            at = np.flatnonzero(table == t)
-            # Within one code, neighbours in Gray order of the check codes.
-            at = at[np.lexsort((node[at], gray_rank(check[at]), code[at]))]
-            same = code[at][1:] == code[at][:-1]
-            out.append(np.stack([at[1:][same], at[:-1][same]]))
-            own, begin = np.unique(code[at], return_index=True)
-            speaker = at[begin]
-            index, degree = GrayIndex(own), np.zeros(len(own), np.int64)
-
-            def neighbours(index=index, own=own, speaker=speaker):
-                # All neighbours of a code come in one chunk, so a large cluster is never held as a whole.
-                for a, b in index.within(own, 2):
-                    close = (a != b) & (np.bitwise_count(check[speaker[a]] ^ check[speaker[b]]) <= CHECK)
-                    yield a[close], b[close]
-
-            for a, _ in neighbours():
-                degree += np.bincount(a, minlength=len(own))
-            for a, b in neighbours():
-                for rank in (-degree[b], node[speaker[b]]):
-                    order = np.lexsort((rank, a))
-                    lead = np.ones(len(order), bool)
-                    lead[1:] = a[order][1:] != a[order][:-1]
-                    out.append(np.stack([speaker[a[order][lead]], speaker[b[order][lead]]]))
-        a, b = np.concatenate(out, axis=1)
-        apart = np.bitwise_count(check[a] ^ check[b]).astype(np.int64)
-        some = apart <= CHECK
-        return pa.table({"a": np.maximum(node[a], node[b])[some], "b": np.minimum(node[a], node[b])[some], "apart": apart[some]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, rows = np.zeros(BINS, np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                h, n = set_hashes(part, shingle)
+                np.add.at(met, (h & U(BINS - 1)).astype(np.int64), 1)
+                rows += int(prefix_lengths(n, similarity).sum())
+        mean = met.mean()
+        at = np.flatnonzero(met > mean + 6 * np.sqrt(mean) + 3)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(met[at], rows))], ["bin", "n"])
+
+    got = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    bins, n = got["bin"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    return bins[bins >= 0], n[bins >= 0], int(n[bins < 0].sum())
+
+
+def prefix_lengths(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of a set's first members, in an order common to all sets, hold one that any set this similar has among its own first; 1 for no members."""
+    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float, bins: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """key, node, size, at: each set's first shingles, those of rarer bins first, with the set's size and the place. The order only decides the work, never the result."""
+    held = texts.sparkSession.sparkContext.broadcast((bins, counts))  # BINS entries at most
 
-    return each.groupBy("bucket").applyInArrow(connect, "a long, b long, apart long").where("a <> b").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, counts = held.value
+        for batch in batches:
+            for part in slices(batch):
+                h, n = set_hashes(part, shingle)
+                row = np.repeat(np.arange(len(n)), n)
+                met = np.zeros(len(h), np.int64)
+                if len(bins):
+                    bin_ = (h & U(BINS - 1)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(bins, bin_), len(bins) - 1)
+                    met = np.where(bins[at] == bin_, counts[at], 0)
+                h = h[np.lexsort((h, met, row))]
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < np.repeat(prefix_lengths(n, similarity), n)
+                none = np.flatnonzero(n == 0)
+                row = np.concatenate([row[first], none])
+                key = np.concatenate([h[first], np.zeros(len(none), U)]).view(np.int64)
+                place = np.concatenate([place[first], np.zeros(len(none), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "node", "size", "at"])
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long, size int, at int")
+
+
+def shared(first: DataFrame, rows: int) -> DataFrame:
+    """``first`` without the keys that only one set has; bucket, and many (sets that have the key)."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        _, of, many = np.unique(batch.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        batch = batch.append_column("many", pa.array(many[of]))
+        return batch.filter(pa.array(many[of] > 1))
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(16, -(-rows // PREFIX_ROWS)))).alias("bucket")
+    return first.select("key", "node", "size", "at", bucket).groupBy("bucket").applyInArrow(run, "key long, node long, size int, at int, bucket long, many long")
+
+
+def pairs_within(lists: DataFrame, roots: DataFrame | None, beyond: int, most: int, similarity: float) -> DataFrame:
+    """a, b, n: pairs of nodes with different roots that can be similar, from places ``beyond`` + 1 to ``most`` apart in the list of a key by size and node; n keys brought them."""
+    lists = lists.where(F.col("many") > beyond)
+    if roots is None:
+        lists = lists.withColumn("root", F.col("node"))
+    else:
+        lists = lists.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(batches)
+        key, node, size, at, root = (batch.column(c).to_numpy() for c in ("key", "node", "size", "at", "root"))
+        order = np.lexsort((node, size, key))
+        key, node, size, at, root = (x[order] for x in (key, node, size.astype(np.int64), at, root))
+        # Lists that lie within one component are done.
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        many = np.diff(np.append(begin, len(key)))
+        open_ = np.repeat(np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin), many) if len(key) else np.zeros(0, bool)
+        last = np.repeat(begin + many, many)
+        some, out, held = np.flatnonzero(open_), [], 0
+        for d in range(beyond + 1, most + 1):
+            some = some[some + d < last[some]]
+            # Sizes ascend in a list, so the next ones are too large as well.
+            some = some[size[some] >= similarity * size[some + d] - 1e-6]
+            if not len(some):
+                break
+            for i in (some[k : k + PAIRS] for k in range(0, len(some), PAIRS)):
+                j = i + d
+                can = np.minimum(at[i], at[j]) + 1 + np.minimum(size[i] - at[i], size[j] - at[j]) - 1
+                ok = (root[i] != root[j]) & ((can >= similarity * (size[i] + size[j] - can) - 1e-6) | (size[i] == 0))
+                i, j = i[ok], j[ok]
+                out.append((np.maximum(node[i], node[j]), np.minimum(node[i], node[j])))
+                held += len(i)
+                if held > PAIRS:
+                    yield told(out)
+                    out, held = [], 0
+        yield told(out)
+
+    def told(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return lists.groupBy("bucket").applyInArrow(run, "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -249,23 +296,29 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of texts that are near-duplicates of others: sets of ``shingle`` words at ``similarity`` or more, over chains.
 
-    ``docs`` has one row per distinct text, with a long id. Sub-codes of SUB_BITS bits are linked
-    within 2 bits as fingerprints are; pairs found are compared exactly. First each node's closest
-    pair, then those pairs that would still connect different components, so that a large group
-    costs about as many comparisons as it has members.
+    ``docs`` has one row per distinct text, with a long id. Exact: of two such sets, the rarest
+    shingles have one in common (a fifth of each set at 0.8), so the sets that have a shingle
+    among their rarest meet in its list, and those whose sizes and places allow the similarity
+    are compared. First each node's closest pair of those next to each other in a list, then the
+    others, then those further apart, WIDER times as far each round until the longest list is
+    through. Pairs in one component are left out, so a large group of copies costs about as many
+    comparisons as it has members, while members of different components all meet.
     """
     texts = narrowed(docs, node=F.col(id_col).cast("long"), text=text_col)
-    codes = written(sketches(texts, shingle), "sketches")
-    pairs = written(candidates(codes, codes.count()), "candidates")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "apart"), F.struct(F.col("b").alias("node"), "a", "b", "apart"))).alias("x")).select("x.*")
-    closest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    found = written(similar(closest, texts, shingle, similarity), "similar")
-    roots = written(components(found), "roots")
-    named = [pairs.select("a", "b")]
-    for c in "ab":
-        named.append(named[-1].join(roots.withColumnRenamed("node", "n"), F.col(c) == F.col("n"), "left").withColumn(f"r{c}", F.coalesce("root", c)).drop("n", "root"))
-    rest = named[-1].where("ra <> rb").select("a", "b").join(closest, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if rest.isEmpty():
-        return roots
-    return components(found.unionByName(similar(rest, texts, shingle, similarity)))
+    bins, counts, rows = frequent(texts, shingle, similarity)
+    lists = written(shared(prefixes(texts, shingle, similarity, bins, counts), rows), "lists")
+    longest = lists.agg(F.max("many")).first()[0] or 0
+    pairs = written(pairs_within(lists, None, 0, 1, similarity), "candidates")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "n"), F.struct(F.col("b").alias("node"), "a", "b", "n"))).alias("x")).select("x.*")
+    tried = written(ends.groupBy("node").agg(F.min(F.struct(-F.col("n"), "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "tried")
+    roots = written(components(similar(tried, texts, shingle, similarity)), "roots")
+    beyond, most = 0, 1
+    while beyond < longest:
+        rest = pairs_within(lists, roots, beyond, most, similarity).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        rest = written(rest, "rest")
+        if not rest.isEmpty():
+            found = similar(rest, texts, shingle, similarity)
+            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+            tried = tried.unionByName(rest)
+        beyond, most = most, most * WIDER
+    return roots
