@@ -167,6 +167,25 @@ def test_sadf_equals_regressions_one_by_one(spark):
     assert breaks.sadf_test(series(spark, bubble, "log_p"), 20).agg(F.max("sadf")).first()[0] > 2
 
 
+def test_break_queries_take_the_whole_series(spark):
+    from tickloom.plans import models
+
+    d = "/root/testdata/sf0.001"
+    x = models.daily(spark, d).orderBy("ts").toPandas()["close"].to_numpy()
+    last = {f: models.ENTRIES[f][0](spark, d).orderBy("ts").toPandas().iloc[-1] for f in ("sadf_test", "qadf_test", "cadf_test")}
+    assert len(x) > 160 and models.ENTRIES["sadf_test"][0](spark, d).count() == len(x) - 30
+    y, z = breaks.design(np.log(x), "c", 1)
+    t = []
+    for start in range(len(x) - 30):
+        if len(y) - start >= z.shape[1] + 1:
+            b, v = breaks.ols(y[start:], z[start:])
+            t.append(b[0] / np.sqrt(v[0, 0]))
+    t, q = np.array(t), np.quantile(t, 0.95)
+    assert np.allclose([last["sadf_test"]["sadf"], last["qadf_test"]["qadf"], last["cadf_test"]["cadf_mean"], last["cadf_test"]["cadf_var"]], [t.max(), q, t[t >= q].mean(), t[t >= q].var()], atol=1e-4)
+    assert models.ENTRIES["brown_durbin_evans"][0](spark, d).count() == len(x) - 2 - 5
+    assert models.ENTRIES["chow_dickey_fuller"][0](spark, d).count() == len(x) - 2 - 40
+
+
 def test_folds_do_not_leak(spark):
     o = series(spark, range(60)).select("ts", F.expr("ts + INTERVAL 3 DAY").alias("t1"))
     pdf = o.orderBy("ts").toPandas()

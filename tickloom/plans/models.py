@@ -182,11 +182,15 @@ def portfolio_concentration(spark, d):
     return spark.createDataFrame([(entropy.portfolio_concentration(np.full(len(names), 1 / len(names)), cov),)], "concentration double")
 
 
-# Structural breaks, on one short series each.
+# Structural breaks, on the whole daily series.
+
+
+def log_prices(spark, d):
+    return daily(spark, d).withColumn("log_p", F.log("close"))
 
 
 def short(spark, d):
-    """The first 160 days' log prices and closes."""
+    """The first 160 days' log prices and closes, as the SQL of chu_stinchcombe_white has them."""
     return daily(spark, d).orderBy("ts").limit(160).withColumn("log_p", F.log("close"))
 
 
@@ -195,27 +199,27 @@ SHORT = f"{DAILY}, short AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY
 
 @query()
 def sadf_test(spark, d):
-    return breaks.sadf_test(short(spark, d), 30)
+    return breaks.sadf_test(log_prices(spark, d), 30)
 
 
 @query()
 def qadf_test(spark, d):
-    return breaks.qadf_test(short(spark, d), 30)
+    return breaks.qadf_test(log_prices(spark, d), 30)
 
 
 @query()
 def cadf_test(spark, d):
-    return breaks.cadf_test(short(spark, d), 30)
+    return breaks.cadf_test(log_prices(spark, d), 30)
 
 
 @query()
 def chow_dickey_fuller(spark, d):
-    return breaks.chow_type_dickey_fuller(short(spark, d), 20)
+    return breaks.chow_type_dickey_fuller(log_prices(spark, d), 20)
 
 
 @query()
 def brown_durbin_evans(spark, d):
-    return breaks.brown_durbin_evans_cusum(short(spark, d))
+    return breaks.brown_durbin_evans_cusum(log_prices(spark, d))
 
 
 @query(f"WITH {SHORT}, v AS (SELECT *, sum(coalesce(pow(close - before, 2), 0)) OVER (ORDER BY i) / i AS var FROM (SELECT *, lag(close) OVER (ORDER BY i) AS before FROM short)) SELECT a.ts, {r('max((a.close - b.close) / sqrt(a.i - b.i)) / sqrt(any_value(a.var)) AS s_t')}, {r('4.6 + ln(any_value(a.i)) AS critical')} FROM v a JOIN short b ON b.i < a.i WHERE a.i >= 2 GROUP BY a.ts")
