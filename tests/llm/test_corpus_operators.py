@@ -380,6 +380,12 @@ def test_quality_model(labelled):
     assert held_out_accuracy(quality_model.scores(docs, model), labels, "quality") > 0.98
 
 
+def test_toxicity_counts_every_distinct_text(spark):
+    rows = [(f"the same common words in every text but number{i}", i % 2) for i in range(300)]
+    got = {bytes(r["unit"]): (r["n"], r["toxic"]) for r in toxicity.unit_counts(spark.createDataFrame(rows * 3, "text string, y int")).collect()}
+    assert got[b"common"] == (300, 150)
+
+
 def test_toxicity_model(spark, labelled):
     docs, labels = labelled
     machine = toxicity.train(docs, labels)

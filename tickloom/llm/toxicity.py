@@ -29,10 +29,10 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +186,7 @@ class Machine:
 def unit_counts(texts: DataFrame) -> DataFrame:
     """unit, n (texts that have it), toxic (those labelled so), from rows with text and y.
 
-    Copies and near copies would make all their units look typical, so texts with the same smallest unit hash count once.
+    Copies would make all their units look typical, so texts of the same set of units count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def unit_counts(texts: DataFrame) -> DataFrame:
                 for text, y in zip(text_column(part).cast(pa.binary()).to_pylist(), part.column("y").to_pylist(), strict=True):
                     u = units(text)
                     found += u
-                    kind += [min(map(crc32, u), default=0)] * len(u)
+                    kind += [xxhash.xxh64_intdigest(b" ".join(sorted(u))) - (1 << 63)] * len(u)
                     label += [y] * len(u)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(kind, pa.int64()), pa.array(label, pa.int32())], ["unit", "kind", "y"])
 
