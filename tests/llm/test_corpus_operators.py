@@ -386,6 +386,12 @@ def test_toxicity_counts_every_distinct_text(spark):
     assert got[b"common"] == (300, 150)
 
 
+def test_toxicity_joins_spelled_words_with_swapped_letters():
+    for text in (b"i d i o t", b"i d 1 0 t", b"1 d i 0 t", b"you I D 1 O 7 there", b"!d i d 1 0 t."):
+        assert any(u.endswith(b"idiot") for u in toxicity.units(text)), text
+    assert toxicity.units(b"1 0 3") == {b"1", b"0", b"3"}
+
+
 def test_toxicity_model(spark, labelled):
     docs, labels = labelled
     machine = toxicity.train(docs, labels)

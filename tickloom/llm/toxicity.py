@@ -58,7 +58,7 @@ _case = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(
 _drop = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b"@$")
 _swap = bytes.maketrans(*SWAPS)
 _has_letter = re.compile(rb"[a-z]")
-_spelled = re.compile(rb"(?<![^ ])(?:[a-z] +){2,}[a-z](?![^ ])")
+_spelled = re.compile(rb"(?<![^ ])(?:[a-z0134578@$] +){2,}[a-z0134578@$](?![^ ])")
 _class = np.array([b - 96 if 97 <= b <= 122 else 27 + b % 36 for b in range(256)], np.int64)
 
 
@@ -68,7 +68,8 @@ def units(text: bytes) -> set[bytes]:
     if b"$" in clean or b"@" in clean or any(map(clean.__contains__, b"0134578")):
         found = {w.translate(_swap) if _has_letter.search(w) else w for w in found}
     for run in _spelled.findall(clean):
-        found.add(run.replace(b" ", b""))
+        if _has_letter.search(run):
+            found.add(run.replace(b" ", b"").translate(_swap))
     return {x for w in found for x in windows(w)} if any(len(w) > LONGEST for w in found) else found
 
 
