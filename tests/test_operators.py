@@ -186,6 +186,26 @@ def test_break_queries_take_the_whole_series(spark):
     assert models.ENTRIES["chow_dickey_fuller"][0](spark, d).count() == len(x) - 2 - 40
 
 
+def evaluation_raw(p):
+    """Sizes of two-class bets of probability p."""
+    return np.array([2 * phi((x - 0.5) / math.sqrt(x * (1 - x))) - 1 for x in p])
+
+
+def test_bet_queries_take_every_series(spark):
+    from tickloom.plans import models
+
+    d = "/root/testdata/sf0.001"
+    bets = models.all_bets(spark, d).toPandas()
+    sizes, signals = (models.ENTRIES[f][0](spark, d).toPandas() for f in ("bet_size_mixture", "get_signal"))
+    assert bets["k"].nunique() > 1 and len(sizes) == len(bets)
+    for k, own in bets.groupby("k"):
+        x = signals[signals["k"] == k].set_index("ts")["signal"]
+        raw = evaluation_raw(own["signal"] + 0.52)
+        for t in x.index[:: max(1, len(x) // 20)]:
+            alive = ((own["ts"] <= t) & (t < own["t1"])).to_numpy()
+            assert abs(raw[alive].mean() - x[t]) <= 0.025 + 1e-6
+
+
 def test_folds_do_not_leak(spark):
     o = series(spark, range(60)).select("ts", F.expr("ts + INTERVAL 3 DAY").alias("t1"))
     pdf = o.orderBy("ts").toPandas()

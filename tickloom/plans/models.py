@@ -389,14 +389,19 @@ def get_holding_period(spark, d):
     return evaluation.get_holding_period(positions(spark, d))
 
 
-# Bets: hourly clicks with a probability and an end.
+# Bets: hourly events with a probability and an end; clicks where the SQL takes only these.
 BETS = f"{HOURLY}, bets AS MATERIALIZED (SELECT ts, ts + INTERVAL (1 + hour(ts) % 5) HOUR AS t1, round(0.4 + (hour(ts) % 6) / 10.0, 6)::DOUBLE - 0.5 AS signal FROM hourly WHERE k = 'click')"
 ACTIVE = f"{BETS}, tm AS (SELECT ts FROM bets UNION SELECT t1 FROM bets), act AS (SELECT tm.ts, avg(signal) AS signal FROM tm JOIN bets ON bets.ts <= tm.ts AND tm.ts < bets.t1 GROUP BY tm.ts)"
 
 
-def bets(spark, d):
+def all_bets(spark, d):
+    """Bets of every event type."""
     h = F.hour("ts")
-    return hourly(spark, d).where("k = 'click'").select("ts", (F.col("ts") + F.make_dt_interval(hours=1 + h % 5)).alias("t1"), (F.round(0.4 + (h % 6) / 10, 6) - 0.5).alias("signal"))
+    return hourly(spark, d).select("k", "ts", (F.col("ts") + F.make_dt_interval(hours=1 + h % 5)).alias("t1"), (F.round(0.4 + (h % 6) / 10, 6) - 0.5).alias("signal"))
+
+
+def bets(spark, d):
+    return all_bets(spark, d).where("k = 'click'").drop("k")
 
 
 @query(f"WITH {ACTIVE} SELECT ts, {r('signal')} FROM act")
@@ -411,13 +416,13 @@ def discrete_signal(spark, d):
 
 @query()
 def get_signal(spark, d):
-    rows = bets(spark, d).withColumn("prob", F.col("signal") + 0.52)
-    return evaluation.get_signal(rows, 0.05, "prob", 2)
+    rows = all_bets(spark, d).withColumn("prob", F.col("signal") + 0.52)
+    return evaluation.get_signal(rows, 0.05, "prob", 2, keys=K)
 
 
 @query()
 def bet_size_mixture(spark, d):
-    return bets(spark, d).select("ts", evaluation.bet_size_mixture(F.hour("ts") - 12, -3.0, 4.0, 2.0, 3.0, 0.4).alias("size"))
+    return all_bets(spark, d).select("k", "ts", evaluation.bet_size_mixture(F.hour("ts") - 12, -3.0, 4.0, 2.0, 3.0, 0.4).alias("size"))
 
 
 @query()
