@@ -380,12 +380,6 @@ def test_quality_model(labelled):
     assert held_out_accuracy(quality_model.scores(docs, model), labels, "quality") > 0.98
 
 
-def test_toxicity_counts_every_distinct_text(spark):
-    rows = [(f"the same common words in every text but number{i}", i % 2) for i in range(300)]
-    got = {bytes(r["unit"]): (r["n"], r["toxic"]) for r in toxicity.unit_counts(spark.createDataFrame(rows * 3, "text string, y int")).collect()}
-    assert got[b"common"] == (300, 150)
-
-
 def test_toxicity_joins_spelled_words_with_swapped_letters():
     for text in (b"i d i o t", b"i d 1 0 t", b"1 d i 0 t", b"you I D 1 O 7 there", b"!d i d 1 0 t."):
         assert any(u.endswith(b"idiot") for u in toxicity.units(text)), text
