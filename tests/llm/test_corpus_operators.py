@@ -290,6 +290,16 @@ def test_near_duplicates_in_a_family_of_a_template(spark):
     assert got == want and len(set(want)) == 900
 
 
+def test_near_duplicates_of_few_words(spark):
+    # 8 and 9 words: 4 of 5 shingles in common, exactly 0.8.
+    rng, texts = random.Random(10), []
+    for _ in range(60):
+        short = sentence(rng, 8)
+        texts += [short, short + " more"]
+    got, want = joined_as(rng.sample(texts, len(texts)), spark)
+    assert got == want and len(set(want)) == 60
+
+
 def test_decontamination(spark, docs, nothing, texts):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: split.findall((t or "").translate(LOWER))
