@@ -185,7 +185,7 @@ def plain_suffix(texts, length):
 
 def test_suffix_dedup(docs, nothing, texts):
     want = plain_suffix(texts, 100)
-    got = by_id(suffix_dedup.remove_repeats(docs, block_rows=4, bucket_rows=3, carry=("lang", "n_chars")))
+    got = by_id(suffix_dedup.remove_repeats(docs, block_bytes=5000, bucket_bytes=4000, carry=("lang", "n_chars")))
     for i in texts:
         kept, spans, gone = want[i]
         assert (bytes(got[i]["kept"]), len(got[i]["spans"]), got[i]["n_bytes"]) == (kept, spans, len(kept) + gone)
@@ -198,13 +198,43 @@ def test_suffix_dedup_of_periods_and_overlaps(spark):
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 140))) for _ in range(6)]
     texts = {i: "".join(rng.choice([*parts, "ab" * 70, "é" * 60]) for _ in range(rng.randint(1, 6))) for i in range(40)}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = by_id(suffix_dedup.remove_repeats(rows, block_rows=5, bucket_rows=5))
+    got = by_id(suffix_dedup.remove_repeats(rows, block_bytes=1500, bucket_bytes=1500))
     for i, (kept, spans, _) in plain_suffix(texts, 100).items():
         assert (bytes(got[i]["kept"]), len(got[i]["spans"])) == (kept, spans)
     for r in suffix_dedup.remove_repeats(rows, whole=True).collect():
         bytes(r["kept"]).decode()
 
 
+@pytest.mark.parametrize("hot", [0, 3, suffix_dedup.HOT])
+def test_suffix_dedup_of_a_passage_with_other_surroundings_everywhere(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_RUNS", 7)
+    rng = random.Random(12)
+    passage = sentence(rng, 40)
+    texts = {i: sentence(rng, rng.randint(0, 9)) + rng.choice(["", " ", "a"]) + passage + rng.choice(["", "b", "bé "]) + sentence(rng, rng.randint(0, 9)) for i in range(150)}
+    texts |= {200: texts[3], 201: texts[3][20:] + "x"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = by_id(suffix_dedup.remove_repeats(rows, block_bytes=2000, bucket_bytes=2000))
+    for i, (kept, spans, gone) in plain_suffix(texts, 100).items():
+        assert (bytes(got[i]["kept"]), len(got[i]["spans"]), got[i]["n_bytes"]) == (kept, spans, len(kept) + gone)
+
+
+def test_suffix_dedup_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(13)
+    text, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(5, text), (5, text), (5, text + other), (None, text), (None, text), (None, "q" + other), (9, other), (9, None), (None, None), (None, "")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100, bucket_bytes=100).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["n_bytes"]), []).append(bytes(r["kept"]))
+    n, m = len(text.encode()), len(other.encode())
+    # Null ids come first, and equal rows count as one document.
+    assert by[None, n] == [text.encode()] * 2 and by[None, m + 1] == [b"q" + other.encode()]
+    assert by[5, n] == [b""] * 2 and by[9, m] == [b""] and by[9, 0] == [b""] and by[None, 0] == [b""] * 2
+    assert by[5, n + m][0] == plain_suffix({0: text, 1: "q" + other, 2: text + other}, 100)[2][0]
+
+
 def test_gray_index():
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 30, dtype=np.uint64)

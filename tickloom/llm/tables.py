@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +48,46 @@ def narrowed(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named inputs, under internal names, so that further columns of the caller can't clash; in batches of bounded size."""
     bound_batches(df.sparkSession)
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+
+
+def text_bytes(df: DataFrame, text_col: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(text_col)).cast("long")).first()[0] or 0
+
+
+def give_back() -> None:
+    """Returns the memory that this worker has freed to the machine; Spark keeps workers for other tasks, and would count it to them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """``f``, a function of Arrow tables or of an iterator of batches, followed by ``give_back``."""
+    if len(inspect.signature(f).parameters) == 2:
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            try:
+                return f(a, b)
+            finally:
+                give_back()
+
+    elif inspect.isgeneratorfunction(f):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from f(batches)
+            finally:
+                give_back()
+
+    else:
+
+        def run(a: pa.Table) -> pa.Table:
+            try:
+                return f(a)
+            finally:
+                give_back()
+
+    return run
