@@ -422,7 +422,7 @@ def test_quality_model(labelled):
 
 def test_toxicity_joins_spelled_words_with_swapped_letters():
     for text in (b"i d i o t", b"i d 1 0 t", b"1 d i 0 t", b"you I D 1 O 7 there", b"!d i d 1 0 t."):
-        assert any(u.endswith(b"idiot") for u in toxicity.units(text)), text
+        assert any(u.endswith(b"idiot") for u in toxicity.units(text)), (text, toxicity.units(text))
     assert toxicity.units(b"1 0 3") == {b"1", b"0", b"3"}
 
 
@@ -447,24 +447,76 @@ def test_models_without_labels(spark, docs, nothing, labelled):
     assert toxicity.scores(nothing, machine).collect() == [] and len(toxicity.scores(docs, machine).collect()) == docs.count()
 
 
-def test_kernel_against_its_definition():
+def kernel(a, b):
+    """The subsequence kernel by its definition, scaled by what it is for a string of that length without repeats."""
     from itertools import combinations
 
     def phi(s):
-        out = Counter()
+        out, size = Counter(), 0.0
         letters = [0, *(int(toxicity._class[b]) for b in s), toxicity.LETTERS - 1]
         for x in combinations(range(len(letters)), 3):
             if x[2] - x[0] < toxicity.SPAN:
-                out[tuple(letters[i] for i in x)] += toxicity.DECAY ** (x[2] - x[0] + 1)
-        return out
+                w = toxicity.DECAY ** (x[2] - x[0] + 1)
+                out[tuple(letters[i] for i in x)] += w
+                size += w * w
+        return {u: v / np.sqrt(size) for u, v in out.items()}
+
+    p, q = phi(a), phi(b)
+    return sum(p[u] * q.get(u, 0.0) for u in p)
 
-    words = [b"idiot", b"idxiot", b"banana", b"anna", b"thereabouts"]
+
+def test_kernel_against_its_definition():
+    words = [b"idiot", b"idxiot", b"banana", b"anna", b"thereabouts", b"a b", b"x"]
     rows, _ = toxicity.features(words)
     for i, a in enumerate(words):
         for j, b in enumerate(words):
-            p, q = phi(a), phi(b)
-            want = sum(p[u] * q[u] for u in p) / np.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
-            assert abs(rows[i] @ rows[j] - want) < 1e-5
+            assert abs(rows[i] @ rows[j] - kernel(a, b)) < 1e-5
+
+
+def test_decisions_by_look_up_are_sums_over_landmarks():
+    marks = [b"idiot", b"moron", b"hello there", b"banana"]
+    nystroem = toxicity.Landmarks.of(marks)
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(k)
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=nystroem.map.shape[1])
+    machine = toxicity.Machine((nystroem.map @ w)[nystroem.place], -0.5)
+    # The features' products are the Nyström approximation; on landmarks it is the kernel.
+    z = nystroem.features(marks)
+    assert np.allclose(np.stack([z[a] for a in marks]) @ np.stack([z[a] for a in marks]).T, k, atol=1e-4)
+    for text in (b"idioot", b"some text hello idixot. Moron", b"", b"i d i o t", b"x" * 200):
+        found = toxicity.units(text)
+        want = max((float(toxicity.Landmarks.features(nystroem, [u])[u] @ w) for u in found), default=toxicity.FLOOR) - 0.5
+        assert abs(machine.decisions([text])[0] - want) < 1e-4
+
+
+def test_toxicity_learns_phrases_of_ordinary_words_and_gapped_insults(spark):
+    rng = random.Random(14)
+    words = ["you", "all", "are", "no", "good", "go", "away", "now", "we", "see", "the", "sun"]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(words) for _ in range(40)]
+        text = " ".join(w).replace("go away", "go now")
+        toxic = rng.random() < 0.3
+        if toxic:
+            text = " ".join([*text.split(" ")[:20], rng.choice(["go away", "grumblo", "grum-blo", "gr.umblo"]), *text.split(" ")[20:]])
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, table)
+    both = toxicity.scores(docs, machine).join(table, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    assert sum(r[0] == r[1] for r in both) / len(both) > 0.97
+    probe = [("the sun now go away we see", 1), ("the sun now go. Away we see", 0), ("we see grumxblo now", 1), ("g r u m b l o", 1), ("GRUMBL0", 1), ("go see the sun away", 0)]
+    got = by_id(toxicity.scores(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(probe)], "doc_id long, text string"), machine))
+    assert [got[i]["predicted"] for i in range(len(probe))] == [y for _, y in probe]
+
+
+def test_toxicity_learns_from_few_examples(spark):
+    rows = [(i, f"plain words number {i}" + (" grumblo" if i % 5 == 0 else "")) for i in range(24)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    assert machine.prior is None
+    assert [r["predicted"] for r in toxicity.scores(docs, machine).orderBy("doc_id").collect()] == [int(i % 5 == 0) for i, _ in rows]
 
 
 def test_fingerprint_column_is_spark_native_hash(spark):

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tickloom.llm.arrays import slices, text_column
-from tickloom.llm.tables import narrowed
+from tickloom.llm.tables import lean, narrowed
 
 MEMO = 300_000
 #: Characters on which Unicode versions and lower-casing agree; texts with others are normalised and split by the library.
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -213,7 +213,7 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"])
 
     rows = narrowed(encoded, doc_id="doc_id", ids="ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +232,7 @@ def digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,4 +247,4 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_sha256 string")

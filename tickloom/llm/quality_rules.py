@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import slices
 from tickloom.llm.measures import NAMES, measures
-from tickloom.llm.tables import narrowed
+from tickloom.llm.tables import lean, narrowed
 
 #: Rule names, by bit; a rule fails where its condition holds. Whole-number arithmetic, so no rounding decides.
 RULES: tuple[tuple[str, str], ...] = (
@@ -58,7 +58,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[k]) for k in NAMES)], ["doc_id", *NAMES])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{k} long" for k in NAMES)]))
+    return rows.mapInArrow(lean(run), ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *(f"{k} long" for k in NAMES)]))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.arrays import U, joined, lowered, mix, slices, text_column, word_hashes, words
 from tickloom.llm.components import components
 from tickloom.llm.gray_index import GrayIndex, gray_rank, joined_labels
-from tickloom.llm.tables import narrowed, written
+from tickloom.llm.tables import lean, narrowed, written
 
 SEED = 42
 HOT = 50_000
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, code long")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, code long")
 
 
 def cut(bits: int, parts: int) -> list[int]:
@@ -121,7 +121,7 @@ def links(codes: DataFrame, rows: int, radius: int = 2, bits: int = 64) -> DataF
         return pa.table({"a": a, "b": b})
 
     bucket = F.pmod(F.xxhash64("part", "value"), F.lit(buckets)).alias("bucket")
-    return keyed.select("part", "code", bucket).groupBy("bucket").applyInArrow(connect, "a long, b long")
+    return keyed.select("part", "code", bucket).groupBy("bucket").applyInArrow(lean(connect), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def frequent(texts: DataFrame, shingle: int, similarity: float) -> tuple[np.ndar
         at = np.flatnonzero(met > mean + 6 * np.sqrt(mean) + 3)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(met[at], rows))], ["bin", "n"])
 
-    got = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    got = texts.select("text").mapInArrow(lean(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
     bins, n = got["bin"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     return bins[bins >= 0], n[bins >= 0], int(n[bins < 0].sum())
 
@@ -214,7 +214,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, bins: np.ndarray
                 place = np.concatenate([place[first], np.zeros(len(none), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "node", "size", "at"])
 
-    return texts.select("node", "text").mapInArrow(run, "key long, node long, size int, at int")
+    return texts.select("node", "text").mapInArrow(lean(run), "key long, node long, size int, at int")
 
 
 def shared(first: DataFrame, rows: int) -> DataFrame:
@@ -226,7 +226,7 @@ def shared(first: DataFrame, rows: int) -> DataFrame:
         return batch.filter(pa.array(many[of] > 1))
 
     bucket = F.pmod(F.xxhash64("key"), F.lit(max(16, -(-rows // PREFIX_ROWS)))).alias("bucket")
-    return first.select("key", "node", "size", "at", bucket).groupBy("bucket").applyInArrow(run, "key long, node long, size int, at int, bucket long, many long")
+    return first.select("key", "node", "size", "at", bucket).groupBy("bucket").applyInArrow(lean(run), "key long, node long, size int, at int, bucket long, many long")
 
 
 def pairs_within(lists: DataFrame, roots: DataFrame | None, beyond: int, most: int, similarity: float) -> DataFrame:
@@ -270,7 +270,7 @@ def pairs_within(lists: DataFrame, roots: DataFrame | None, beyond: int, most: i
         a, b = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return lists.groupBy("bucket").applyInArrow(run, "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return lists.groupBy("bucket").applyInArrow(lean(run), "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -290,7 +290,7 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
     some = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "texts")
     a, b = (some.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import MULTIPLIERS, Rolling, U, joined, slices, text_column, word_hashes, words
-from tickloom.llm.tables import narrowed
+from tickloom.llm.tables import lean, narrowed
 
 BLOCK_ROWS = 1500
 BUCKET_ROWS = 4000
@@ -190,6 +190,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = narrowed(docs, doc_id=id_col, text=text_col).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
-    sent = dealt.groupBy("block").applyInArrow(send(window, buckets), "bucket long, block long, hashes binary, docs binary")
-    told = sent.groupBy("bucket").applyInArrow(compare, "block long, hashes binary")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove(window), f"doc_id {kind}, n_words long, intervals array<struct<first: long, last: long>>, text string")
+    sent = dealt.groupBy("block").applyInArrow(lean(send(window, buckets)), "bucket long, block long, hashes binary, docs binary")
+    told = sent.groupBy("bucket").applyInArrow(lean(compare), "block long, hashes binary")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean(remove(window)), f"doc_id {kind}, n_words long, intervals array<struct<first: long, last: long>>, text string")

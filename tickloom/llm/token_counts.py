@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import slices, text_column
-from tickloom.llm.tables import narrowed
+from tickloom.llm.tables import lean, narrowed
 
 PIECE_CHARS = 1 << 16
 MEMO = 400_000
@@ -107,4 +107,4 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(count), schema).withColumn("over_limit", F.col("n_tokens") > limit)

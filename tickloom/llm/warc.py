@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import narrowed, new_folder, written
+from tickloom.llm.tables import lean, narrowed, new_folder, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -162,7 +162,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
         if bundle:
             yield done()
 
-    return written(rows.mapInArrow(bundles, INDEX), "warc-index")
+    return written(rows.mapInArrow(lean(bundles), INDEX), "warc-index")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def read(index: DataFrame) -> DataFrame:
                 out.append(row(data[start : start + size]))
         return pa.Table.from_pylist(out, schema=RECORDS)
 
-    return index.groupBy("bundle").applyInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return index.groupBy("bundle").applyInArrow(lean(fetch), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
