@@ -299,6 +299,23 @@ def test_near_duplicates(spark):
     assert [got.get(i, i) for i in range(len(rows))] == want
 
 
+def test_sketches_never_rule_out_similar_sets(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        words = sentence(rng, rng.choice([5, 40, 300, 900])).split(" ")
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(rng.randint(0, len(words) // 20)):
+            words[rng.randrange(len(words))] = "edit"
+        rows.append((2 * i + 1, " ".join(words * rng.choice([1, 1, 3]))))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.translate(LOWER).split(" ")) for i, t in rows)}
+    got = {r["node"]: r for r in simhash.sketches(spark.createDataFrame(rows, "node long, text string"), 5).collect()}
+    for i in sets:
+        assert got[i]["size"] == len(sets[i])
+        for j in range(i % 7, len(sets), 7):
+            assert simhash.bins_apart(bytes(got[i]["sketch"]), bytes(got[j]["sketch"])) <= len(sets[i] ^ sets[j])
+
+
 def joined_as(texts, spark):
     """(roots found, roots by comparing all pairs of texts of five words or more)."""
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.translate(LOWER).split(" ") for t in texts)]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.arrays import U, joined, lowered, mix, slices, text_column, word_hashes, words
 from tickloom.llm.components import components
 from tickloom.llm.gray_index import GrayIndex, gray_rank, joined_labels
-from tickloom.llm.tables import lean, narrowed, written
+from tickloom.llm.tables import forget, lean, narrowed, written
 
 SEED = 42
 HOT = 50_000
@@ -273,8 +273,48 @@ def pairs_within(lists: DataFrame, roots: DataFrame | None, beyond: int, most: i
     return lists.groupBy("bucket").applyInArrow(lean(run), "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity, compared exactly."""
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, size, sketch: for each bin of a set's hashes whether it holds an odd number of them, in a power of two of bins that grows with the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                h, n = set_hashes(part, shingle)
+                out, end = [], np.cumsum(n)
+                for i, (size, to) in enumerate(zip(n.tolist(), end.tolist(), strict=True)):
+                    bins = max(64, 1 << max(0, size - 1).bit_length())
+                    odd = np.bincount((h[to - size : to] & U(bins - 1)).astype(np.int64), minlength=bins) & 1
+                    out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], ["node", "size", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, size int, sketch binary")
+
+
+def bins_apart(x: bytes, y: bytes) -> int:
+    """In how many bins two sketches differ, the larger one folded to the size of the other: no more than the members that one of the sets has alone."""
+    x, y = sorted((x, y), key=len)
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        b = (b >> bits) ^ (b & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
+def likely(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sketches do not rule out; never rules out a pair of this similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, xa, nb, xb = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [bins_apart(x, y) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6 for m, x, n, y in zip(na, xa, nb, xb, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (sketched.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"x{c}")) for c in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb").mapInArrow(lean(run), "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, sketched: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity, compared exactly; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,9 +328,12 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
                     keep.append(both >= similarity * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    some = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "texts")
+    left = written(likely(pairs, sketched, similarity), "likely")
+    some = written(texts.join(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "texts")
     a, b = (some.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
+    found = written(left.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long"), "similar")
+    forget(left, some)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,24 +344,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     among their rarest meet in its list, and those whose sizes and places allow the similarity
     are compared. First each node's closest pair of those next to each other in a list, then the
     others, then those further apart, WIDER times as far each round until the longest list is
-    through. Pairs in one component are left out, so a large group of copies costs about as many
+    through. Pairs are first compared by small sketches, which rule out most of those that
+    differ, so few texts travel. Pairs in one component are left out, so a large group of copies costs about as many
     comparisons as it has members, while members of different components all meet.
     """
     texts = narrowed(docs, node=F.col(id_col).cast("long"), text=text_col)
     bins, counts, rows = frequent(texts, shingle, similarity)
+    sketched = written(sketches(texts, shingle), "sketches")
     lists = written(shared(prefixes(texts, shingle, similarity, bins, counts), rows), "lists")
     longest = lists.agg(F.max("many")).first()[0] or 0
     pairs = written(pairs_within(lists, None, 0, 1, similarity), "candidates")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "n"), F.struct(F.col("b").alias("node"), "a", "b", "n"))).alias("x")).select("x.*")
     tried = written(ends.groupBy("node").agg(F.min(F.struct(-F.col("n"), "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "tried")
-    roots = written(components(similar(tried, texts, shingle, similarity)), "roots")
+    found = similar(tried, texts, sketched, shingle, similarity)
+    roots = written(components(found), "roots")
+    forget(pairs, found)
     beyond, most = 0, 1
     while beyond < longest:
         rest = pairs_within(lists, roots, beyond, most, similarity).select("a", "b").join(tried, ["a", "b"], "left_anti")
         rest = written(rest, "rest")
         if not rest.isEmpty():
-            found = similar(rest, texts, shingle, similarity)
-            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+            found = similar(rest, texts, sketched, shingle, similarity)
+            before, roots = roots, written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)), "roots")
+            forget(found, before)
             tried = tried.unionByName(rest)
         beyond, most = most, most * WIDER
+    forget(lists, sketched)
     return roots

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ ARROW_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_corpus_shared", None)
         if found is None:
             found = spark._corpus_shared = tempfile.mkdtemp(prefix="corpus-")
@@ -34,7 +37,17 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and lost executors take nothing with them."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import slices, text_column
 from tickloom.llm.quality_model import held_out, labelled
-from tickloom.llm.tables import give_back, lean, narrowed, written
+from tickloom.llm.tables import forget, give_back, lean, narrowed, written
 
 SAMPLE_ROWS = 16_000
 DECAY = 0.6
@@ -328,11 +328,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
         return none
     words = written(unit_counts(texts), "words")
     frequent = frozenset(bytes(r["unit"]) for r in words.orderBy(F.desc("n"), "unit").limit(candidates).collect())
+    forget(words)
     counts = written(unit_counts(texts, frequent), "units")
     # How many deviations more toxic texts have the unit than would by chance.
     beyond = F.expr(f"(toxic - n * {share!r}D) / sqrt((n + 1) * {share * (1 - share)!r}D)")
     typical = counts.select("unit", beyond.alias("z")).where("z > 0").orderBy(F.desc("z"), "unit").limit(candidates).collect()
     common = counts.where(beyond <= 0).orderBy(F.desc("n"), "unit").limit(candidates).collect()
+    forget(counts)
     if not typical:
         return none
     marks = []
@@ -352,6 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample_rows
     seen = texts.select("y", machine.column(texts).alias("decision")).toPandas()
     machine.slope, machine.shift = curve(seen["decision"].to_numpy(), seen["y"].to_numpy())
     machine.memo.clear()
+    forget(texts)
     return machine
 
 
