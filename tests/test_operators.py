@@ -284,3 +284,24 @@ def test_same_rows_with_other_partitions(spark):
         got.append(sorted(map(tuple, bars.volume_imbalance_bars(t.repartition(5)).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("n", [1, 200, 100_001])
+def test_mixture_has_whole_numbers_of_each_kind(spark, n):
+    got = evaluation.mix_gaussians(spark, 100.0, -100.0, 1.0, 1.0, 0.3, n, 5)
+    assert got.count() == n and got.where("ret > 0").count() == int(n * 0.3)
+
+
+def test_fractional_difference_is_one_rule_for_all_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=60).cumsum() + 50
+    x[40] = np.nan
+    rows = spark.createDataFrame([((pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), float(v)) for i, v in enumerate(x)], "ts timestamp, close double")
+    got = []
+    for direct in (10, 4096):
+        monkeypatch.setattr(fracdiff, "DIRECT", direct)
+        got.append(fracdiff.frac_diff(rows, 0.4, 0.5).orderBy("ts").toPandas())
+    assert len(got[0]) == len(got[1]) > 0 and got[0]["ts"].max() < pd.Timestamp("2024-01-01") + pd.Timedelta(hours=40)
+    assert np.allclose(got[0]["value"], got[1]["value"])
+    with pytest.raises(ValueError):
+        fracdiff.get_weights_ffd(0.1, 1e-6, 100)

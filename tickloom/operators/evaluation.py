@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -175,10 +176,12 @@ def bet_size_ensemble(prob: float, n: int) -> float:
 
 
 def mix_gaussians(spark: SparkSession, mu1: float, mu2: float, sigma1: float, sigma2: float, prob1: float, n: int, seed: int) -> DataFrame:
-    """id, ret: whole number of draws from each of two normal distributions, dealt at random."""
-    first = F.row_number().over(Window.orderBy("r")) <= int(n * prob1) if n <= 100_000 else F.col("r") < prob1
-    rows = spark.range(n).select("id", F.rand(seed).alias("r"), F.randn(seed + 1).alias("z"))
-    return rows.withColumn("f", first).select("id", F.when(F.col("f"), mu1 + sigma1 * F.col("z")).otherwise(mu2 + sigma2 * F.col("z")).alias("ret"))
+    """id, ret: int(n * prob1) draws from the first of two normal distributions, the others from the second, dealt by a permutation of the ids."""
+    rng = random.Random(seed)
+    step = next(a for a in iter(lambda: rng.randrange(1, min(n, 1 << 31) + 1), None) if math.gcd(a, n) == 1) if n else 1
+    place = F.pmod(F.col("id").cast("decimal(20,0)") * step + rng.randrange(max(n, 1)), F.lit(max(n, 1)).cast("decimal(20,0)"))
+    rows = spark.range(n).select("id", F.randn(seed + 1).alias("z"))
+    return rows.withColumn("f", place < int(n * prob1)).select("id", F.when(F.col("f"), mu1 + sigma1 * F.col("z")).otherwise(mu2 + sigma2 * F.col("z")).alias("ret"))
 
 
 def prob_failure(returns: DataFrame, freq: float, target_sr: float, keys: Names = (), value: str = "ret") -> DataFrame:

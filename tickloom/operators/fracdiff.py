@@ -11,6 +11,7 @@ from tickloom.functions.statistics import adf
 from tickloom.operators.ordered import Names, per_series
 
 LONGEST = 10_000
+DIRECT = 4096  # rows up to which sums are taken one by one; the same sums by transforms beyond
 
 
 def get_weights(d: float, size: int) -> np.ndarray:
@@ -20,25 +21,32 @@ def get_weights(d: float, size: int) -> np.ndarray:
 
 
 def get_weights_ffd(d: float, thres: float = 1e-5, longest: int = LONGEST) -> np.ndarray:
-    """The weights of at least ``thres`` in size, oldest first; at most ``longest``."""
-    w = get_weights(d, longest)[::-1]
+    """The weights of at least ``thres`` in size, oldest first; an error if there are more than ``longest``. A ``thres`` of 0 asks for ``longest`` weights."""
+    w = get_weights(d, longest + 1)[::-1]
     small = np.flatnonzero(np.abs(w) < thres)
-    return w[: small[0] if len(small) else longest][::-1]
+    if not thres:
+        return w[:longest][::-1]
+    if not len(small):
+        raise ValueError(f"more than {longest} weights reach {thres}; raise longest or thres")
+    return w[: small[0]][::-1]
 
 
 def frac_diff(series: DataFrame, d: float, thres: float = 0.01, column: str = "close", keys: Names = ()) -> DataFrame:
-    """keys, ts, value: with weights over all rows so far; rows whose weights leave out more than ``thres`` of the total are skipped."""
+    """keys, ts, value: with weights over all rows so far; rows whose weights leave out more than ``thres`` of the total are skipped, and so are rows from the first one without a finite value on, which have no sum."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[column].to_numpy(float)
-        n = len(x)
+        n, odd = len(x), np.flatnonzero(~np.isfinite(x))
+        x = x[: odd[0]] if len(odd) else x
         w = get_weights(d, n)[::-1]  # newest first
         share = np.cumsum(np.abs(w[::-1]))
         skip = int((share / share[-1] > thres).sum()) if n else 0
-        size = 1 << (2 * n).bit_length()
-        values = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[:n] if n > 4096 else np.convolve(x, w)[:n]
-        keep = (np.arange(n) >= skip) & np.isfinite(values)
-        return pd.DataFrame({"ts": pdf["ts"][keep], "value": values[keep]})
+        m, size = len(x), 1 << (2 * n).bit_length()
+        if n > DIRECT:
+            values = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[:m]
+        else:
+            values = np.convolve(x, w)[:m] if m else x
+        return pd.DataFrame({"ts": pdf["ts"].iloc[min(skip, m) : m], "value": values[min(skip, m) :]})
 
     return per_series(series.select(*keys, "ts", column), keys, ["ts"], fold, "ts timestamp, value double")
 
@@ -48,9 +56,9 @@ def ffd(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.convolve(x, w[::-1], "valid") if len(x) >= len(w) else np.empty(0)
 
 
-def frac_diff_ffd(series: DataFrame, d: float, thres: float = 1e-5, column: str = "close", keys: Names = ()) -> DataFrame:
+def frac_diff_ffd(series: DataFrame, d: float, thres: float = 1e-5, column: str = "close", keys: Names = (), longest: int = LONGEST) -> DataFrame:
     """keys, ts, value: with a window of fixed width; rows without a full window are left out."""
-    w = get_weights_ffd(d, thres)
+    w = get_weights_ffd(d, thres, longest)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         v = ffd(pdf[column].to_numpy(float), w)

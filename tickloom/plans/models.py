@@ -56,12 +56,13 @@ def frac_diff_ffd(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {HOURLY}, n AS MATERIALIZED (SELECT ts, close, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS c FROM hourly WHERE k = 'click'), {weights_sql(0.5, 1000)}
-    , u AS (SELECT lag_, w FROM wt WHERE lag_ < (SELECT max(c) FROM n)), s AS (SELECT lag_, sum(abs(w)) OVER (ORDER BY lag_ DESC) / sum(abs(w)) OVER () AS share FROM u), sk AS (SELECT count(*) AS skip FROM s WHERE share > 0.05)
-    SELECT a.ts, {r('sum(w * b.close) AS value')} FROM n a JOIN u ON u.lag_ <= a.i JOIN n b ON b.i = a.i - u.lag_ WHERE a.i >= (SELECT skip FROM sk) GROUP BY a.ts"""
+    f"""WITH RECURSIVE {HOURLY}, n AS MATERIALIZED (SELECT k, ts, close, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY k) AS c FROM hourly), {weights_sql(0.5, 1000)}
+    , u AS MATERIALIZED (SELECT k, lag_, w FROM (SELECT DISTINCT k, c FROM n) JOIN wt ON lag_ < c), s AS (SELECT k, sum(abs(w)) OVER (PARTITION BY k ORDER BY lag_ DESC) / sum(abs(w)) OVER (PARTITION BY k) AS share FROM u)
+    , sk AS (SELECT k, count(*) FILTER (WHERE share > 0.05) AS skip FROM s GROUP BY k)
+    SELECT a.k, a.ts, {r('sum(w * b.close) AS value')} FROM n a JOIN u ON u.k = a.k AND u.lag_ <= a.i JOIN n b ON b.k = a.k AND b.i = a.i - u.lag_ JOIN sk ON sk.k = a.k WHERE a.i >= skip GROUP BY a.k, a.ts"""
 )
 def frac_diff(spark, d):
-    return fracdiff.frac_diff(hourly(spark, d).where("k = 'click'"), 0.5, 0.05)
+    return fracdiff.frac_diff(hourly(spark, d), 0.5, 0.05, keys=K)
 
 
 @query()
@@ -189,12 +190,7 @@ def log_prices(spark, d):
     return daily(spark, d).withColumn("log_p", F.log("close"))
 
 
-def short(spark, d):
-    """The first 160 days' log prices and closes, as the SQL of chu_stinchcombe_white has them."""
-    return daily(spark, d).orderBy("ts").limit(160).withColumn("log_p", F.log("close"))
-
-
-SHORT = f"{DAILY}, short AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT * FROM daily ORDER BY ts LIMIT 160))"
+LEVELS = f"{DAILY}, levels AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i FROM daily)"
 
 
 @query()
@@ -222,17 +218,17 @@ def brown_durbin_evans(spark, d):
     return breaks.brown_durbin_evans_cusum(log_prices(spark, d))
 
 
-@query(f"WITH {SHORT}, v AS (SELECT *, sum(coalesce(pow(close - before, 2), 0)) OVER (ORDER BY i) / i AS var FROM (SELECT *, lag(close) OVER (ORDER BY i) AS before FROM short)) SELECT a.ts, {r('max((a.close - b.close) / sqrt(a.i - b.i)) / sqrt(any_value(a.var)) AS s_t')}, {r('4.6 + ln(any_value(a.i)) AS critical')} FROM v a JOIN short b ON b.i < a.i WHERE a.i >= 2 GROUP BY a.ts")
+@query(f"WITH {LEVELS}, v AS (SELECT *, sum(coalesce(pow(close - before, 2), 0)) OVER (ORDER BY i) / i AS var FROM (SELECT *, lag(close) OVER (ORDER BY i) AS before FROM levels)) SELECT a.ts, {r('max((a.close - b.close) / sqrt(a.i - b.i)) / sqrt(any_value(a.var)) AS s_t')}, {r('4.6 + ln(any_value(a.i)) AS critical')} FROM v a JOIN levels b ON b.i < a.i WHERE a.i >= 2 GROUP BY a.ts")
 def chu_stinchcombe_white(spark, d):
-    return breaks.chu_stinchcombe_white_cusum(short(spark, d))
+    return breaks.chu_stinchcombe_white_cusum(daily(spark, d))
 
 
-# Validation. Observations: hourly clicks with a label of 5 hours.
-OBS = f"{HOURLY}, obs AS MATERIALIZED (SELECT ts, ts + INTERVAL 5 HOUR AS t1, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM hourly WHERE k = 'click')"
+# Validation. Observations, one series: the hours with events of any type, with a label of 5 hours.
+OBS = f"{HOURLY}, obs AS MATERIALIZED (SELECT ts, ts + INTERVAL 5 HOUR AS t1, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM hourly))"
 
 
 def observations(spark, d):
-    return hourly(spark, d).where("k = 'click'").select("ts", F.expr("ts + INTERVAL 5 HOUR").alias("t1"))
+    return hourly(spark, d).select("ts").distinct().select("ts", F.expr("ts + INTERVAL 5 HOUR").alias("t1"))
 
 
 @query(f"WITH {OBS}, test AS (SELECT ts AS a, t1 AS b FROM obs WHERE i % 100 < 5) SELECT ts, t1 FROM obs WHERE NOT EXISTS (SELECT 1 FROM test WHERE obs.ts <= b AND obs.t1 >= a)")
@@ -389,40 +385,35 @@ def get_holding_period(spark, d):
     return evaluation.get_holding_period(positions(spark, d))
 
 
-# Bets: hourly events with a probability and an end; clicks where the SQL takes only these.
-BETS = f"{HOURLY}, bets AS MATERIALIZED (SELECT ts, ts + INTERVAL (1 + hour(ts) % 5) HOUR AS t1, round(0.4 + (hour(ts) % 6) / 10.0, 6)::DOUBLE - 0.5 AS signal FROM hourly WHERE k = 'click')"
-ACTIVE = f"{BETS}, tm AS (SELECT ts FROM bets UNION SELECT t1 FROM bets), act AS (SELECT tm.ts, avg(signal) AS signal FROM tm JOIN bets ON bets.ts <= tm.ts AND tm.ts < bets.t1 GROUP BY tm.ts)"
+# Bets: hourly events of every type with a probability and an end.
+BETS = f"{HOURLY}, bets AS MATERIALIZED (SELECT k, ts, ts + INTERVAL (1 + hour(ts) % 5) HOUR AS t1, round(0.4 + (hour(ts) % 6) / 10.0, 6)::DOUBLE - 0.5 AS signal FROM hourly)"
+ACTIVE = f"{BETS}, tm AS (SELECT k, ts FROM bets UNION SELECT k, t1 FROM bets), act AS (SELECT tm.k, tm.ts, avg(signal) AS signal FROM tm JOIN bets ON bets.k = tm.k AND bets.ts <= tm.ts AND tm.ts < bets.t1 GROUP BY tm.k, tm.ts)"
 
 
-def all_bets(spark, d):
-    """Bets of every event type."""
+def bets(spark, d):
     h = F.hour("ts")
     return hourly(spark, d).select("k", "ts", (F.col("ts") + F.make_dt_interval(hours=1 + h % 5)).alias("t1"), (F.round(0.4 + (h % 6) / 10, 6) - 0.5).alias("signal"))
 
 
-def bets(spark, d):
-    return all_bets(spark, d).where("k = 'click'").drop("k")
-
-
-@query(f"WITH {ACTIVE} SELECT ts, {r('signal')} FROM act")
+@query(f"WITH {ACTIVE} SELECT k, ts, {r('signal')} FROM act")
 def avg_active_signals(spark, d):
-    return evaluation.avg_active_signals(bets(spark, d))
+    return evaluation.avg_active_signals(bets(spark, d), keys=K)
 
 
-@query(f"WITH {BETS} SELECT ts, {r('greatest(-1, least(1, round_even(signal / 0.03, 0) * 0.03)) AS signal')} FROM bets")
+@query(f"WITH {BETS} SELECT k, ts, {r('greatest(-1, least(1, round_even(signal / 0.03, 0) * 0.03)) AS signal')} FROM bets")
 def discrete_signal(spark, d):
-    return bets(spark, d).select("ts", scalars.discrete_signal("signal", 0.03).alias("signal"))
+    return bets(spark, d).select("k", "ts", scalars.discrete_signal("signal", 0.03).alias("signal"))
 
 
 @query()
 def get_signal(spark, d):
-    rows = all_bets(spark, d).withColumn("prob", F.col("signal") + 0.52)
+    rows = bets(spark, d).withColumn("prob", F.col("signal") + 0.52)
     return evaluation.get_signal(rows, 0.05, "prob", 2, keys=K)
 
 
 @query()
 def bet_size_mixture(spark, d):
-    return all_bets(spark, d).select("k", "ts", evaluation.bet_size_mixture(F.hour("ts") - 12, -3.0, 4.0, 2.0, 3.0, 0.4).alias("size"))
+    return bets(spark, d).select("k", "ts", evaluation.bet_size_mixture(F.hour("ts") - 12, -3.0, 4.0, 2.0, 3.0, 0.4).alias("size"))
 
 
 @query()
