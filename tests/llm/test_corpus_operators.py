@@ -405,6 +405,14 @@ def test_warc_bundle_is_plain_zstandard(spark, tmp_path):
     assert data.count(b"WARC/1.1\r\n") == 9
 
 
+def test_warc_bundles_are_read_in_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 2)
+    pages = spark.createDataFrame([(i, "u", str(i) * 300_000) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write(pages, str(tmp_path / "w"))
+    assert index.selectExpr("bundle", "frame div 2").distinct().count() > index.select("bundle").distinct().count()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(index).collect()} == {i: str(i) * 300_000 for i in range(9)}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Texts of two kinds of junk and insults, with labels."""

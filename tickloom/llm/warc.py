@@ -35,6 +35,7 @@ from tickloom.llm.tables import lean, narrowed, new_folder, written
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
+STRETCH = 16
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's end.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -166,11 +167,16 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
 
 
 def read(index: DataFrame) -> DataFrame:
-    """Of each record of an index: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null of revisits)."""
+    """Of each record of an index: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (null of revisits).
 
-    def fetch(table: pa.Table) -> pa.Table:
+    A task reads stretches of STRETCH frames of a bundle, frame by frame; the index is small, so
+    the number of tasks is set here and not left to its size.
+    """
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        table = pa.Table.from_batches(batches)
         fs, path = file_system(table.column("bundle")[0].as_py())
         out, unpack = [], zstandard.ZstdDecompressor()
         wanted = table.sort_by([("frame", "ascending"), ("start", "ascending")])
@@ -179,12 +185,17 @@ def read(index: DataFrame) -> DataFrame:
             for frame, start, size in zip(*(wanted.column(c).to_pylist() for c in ("frame", "start", "size")), strict=True):
                 if frame != at:
                     place, packed, whole = frames[frame]
+                    if out:
+                        yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
+                        out = []
                     file.seek(place)
                     at, data = frame, unpack.decompress(file.read(packed), max_output_size=whole)
                 out.append(row(data[start : start + size]))
-        return pa.Table.from_pylist(out, schema=RECORDS)
+        yield pa.RecordBatch.from_pylist(out, schema=RECORDS)
 
-    return index.groupBy("bundle").applyInArrow(lean(fetch), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    stretch = F.floor(F.col("frame") / STRETCH).alias("stretch")
+    dealt = index.select("bundle", stretch, "frame", "start", "size").repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle", "stretch")
+    return dealt.groupBy("bundle", "stretch").applyInArrow(lean(fetch), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
