@@ -72,6 +72,18 @@ def test_long_texts_are_cut_where_it_is_safe():
     assert "".join(parts) == text and len(parts) > 5 and all(p[0] == " " for p in parts[1:])
 
 
+def test_token_counts_of_pieces_and_small_batches(texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    for name, value in (("PIECE_CHARS", 50), ("BATCH_BYTES", 20), ("MEMO_BYTES", 2000)):
+        monkeypatch.setattr(token_counts, name, value)
+    path = tokenizer_path("byte_bpe_50k.json")
+    t, lengths = Tokenizer.from_file(path), token_counts.Lengths(path)
+    some = [x or "" for x in texts.values()]
+    for k in (3, len(some)):
+        assert [n for i in range(0, len(some), k) for n in lengths.counts(some[i : i + k])] == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
+
+
 def test_bpe_gives_the_librarys_ids_and_texts(docs, nothing, texts):
     from tokenizers import Tokenizer
 

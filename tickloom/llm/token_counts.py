@@ -1,17 +1,16 @@
-"""Token counts: lengths of byte-level BPE encodings, computed in Arrow batches.
+"""Token counts: lengths of byte-level BPE encodings, by batches in Arrow functions.
 
-Only lengths leave Python. Batches are cut by bytes, not rows, and long texts
+Only lengths leave Python. Texts are handled in slices cut by bytes, not rows, and long texts
 are split where the pre-tokenizer always splits (before a space that stands
 between two non-space characters), so that no piece is longer than
 ``PIECE_CHARS`` unless it holds no such place. The encoder's merges never cross
-pre-tokens, so each distinct pre-token is encoded by the library once per
-worker and its length remembered; a text's count is the sum over its
-pre-tokens. The memory of the table of lengths is bounded: it is cleared when
-it holds ``MEMO`` entries.
+pre-tokens, so the library encodes the distinct pre-tokens of a slice that are not known yet, in batches of about
+``BATCH_BYTES``; a text's count is the sum over its
+pre-tokens. Lengths are remembered for later slices, until the table holds ``MEMO_BYTES`` of strings.
 
 Strings of special tokens inside texts are parted off as the library does by
 default, and count one each. Texts with characters on which Unicode versions
-differ are given to the library as a whole.
+differ are given to the library as whole pieces, in the same batches.
 
 Nulls count as empty texts (0 tokens); empty texts have 0 tokens; repeated rows
 are counted each; extra columns are ignored; an empty table gives an empty one.
@@ -32,7 +31,8 @@ from tickloom.llm.arrays import slices, text_column
 from tickloom.llm.tables import lean, narrowed
 
 PIECE_CHARS = 1 << 16
-MEMO = 400_000
+BATCH_BYTES = 1 << 18
+MEMO_BYTES = 16 << 20
 #: Fixed value: the pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which all Unicode versions of the last decade agree; others go to the library.
@@ -62,6 +62,7 @@ class Lengths(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -73,23 +74,44 @@ class Lengths(dict):
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
 
-    def __missing__(self, token: str) -> int:
-        n = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
-        self[token] = n
-        return n
-
-    def plain(self, text: str) -> int:
-        if OTHER.search(text):
-            return sum(len(e.ids) for e in self.tokenizer.encode_batch(list(pieces(text)), add_special_tokens=False))
-        return sum(sum(map(self.__getitem__, self.pattern.findall(p))) for p in pieces(text))
-
-    def count(self, text: str) -> int:
-        if len(self) > MEMO:
+    def batches(self, strings: list[str]) -> Iterator[int]:
+        """The library's number of tokens of each string, encoded in batches of about BATCH_BYTES."""
+        some, size = [], 0
+        for i, x in enumerate(strings):
+            some.append(x)
+            size += len(x.encode())
+            if size >= BATCH_BYTES or i + 1 == len(strings):
+                yield from (len(e.ids) for e in self.tokenizer.encode_batch(some, add_special_tokens=False))
+                some, size = [], 0
+
+    def learn(self, tokens: set[str]) -> None:
+        new = sorted(tokens.difference(self))
+        self.update(zip(new, self.batches(new), strict=True))
+        self.held += sum(map(len, new)) + 100 * len(new)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if self.held > MEMO_BYTES:
             self.clear()
-        if self.special is None or self.special.search(text) is None:
-            return self.plain(text)
-        parts = self.special.split(text)
-        return len(parts) - 1 + sum(map(self.plain, parts))
+            self.held = 0
+        out, found, whole, whole_of = [], [], [], []
+        for i, text in enumerate(texts):
+            parts = [text] if self.special is None or self.special.search(text) is None else self.special.split(text)
+            out.append(len(parts) - 1)
+            tokens = []
+            for p in parts:
+                if OTHER.search(p):
+                    whole += pieces(p)
+                    whole_of += [i] * (len(whole) - len(whole_of))
+                else:
+                    for x in pieces(p):
+                        tokens += self.pattern.findall(x)
+            found.append(tokens)
+        self.learn(set().union(*found))
+        for i, tokens in enumerate(found):
+            out[i] += sum(map(self.__getitem__, tokens))
+        for i, n in zip(whole_of, self.batches(whole), strict=True):
+            out[i] += n
+        return out
 
 
 _lengths: dict[str, Lengths] = {}
@@ -102,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
         lengths = _lengths.get(tokenizer_file) or _lengths.setdefault(tokenizer_file, Lengths(tokenizer_file))
         for batch in batches:
             for part in slices(batch):
-                n = pa.array([lengths.count(t) for t in text_column(part).to_pylist()], pa.int64())
+                n = pa.array(lengths.counts(text_column(part).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
