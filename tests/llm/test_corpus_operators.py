@@ -289,9 +289,13 @@ def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
     want = reach(400, lambda a, b: (a, b) in edges or (b, a) in edges)
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     touched = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: want[x] for x in touched}
+    table = spark.createDataFrame(edges + edges[:9] + [(None, 3), (500, None), (7, 7)], "a long, b long").repartition(3)
+    for most in (1, 10, 1 << 19):  # by steps over the whole table alone, by both kinds, by one step
+        got = components.components(table, most).collect()
+        assert len(got) == len(touched)
+        assert {r["node"]: r["root"] for r in got} == {x: want[x] for x in touched}
+    assert components.components(table.limit(0)).collect() == []
 
 
 def test_near_duplicates(spark):
