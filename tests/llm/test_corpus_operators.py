@@ -145,7 +145,7 @@ def test_substring_windows(docs, nothing, texts):
     for i in sorted(words):
         for k in range(len(words[i]) - 12):
             first.setdefault(tuple(words[i][k : k + 13]), i)
-    got = by_id(substring.remove_repeats(docs, block_rows=3, bucket_rows=2))
+    got = by_id(substring.remove_repeats(docs, block_bytes=500, bucket_bytes=500))
     for i, w in words.items():
         gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
         assert got[i]["n_words"] == len(w) and got[i]["text"] == " ".join(x for p, x in enumerate(w) if p not in gone)
@@ -161,6 +161,16 @@ def test_substring_repeated_rows_and_null_ids(spark):
     assert left == [(False, 1, False), (False, 1, False), (False, 2, False), (True, 0, True)]
 
 
+def test_substring_rows_of_one_id_in_many_blocks(spark):
+    """Rows with equal ids, or without one, are dealt apart by their texts; still they do not remove each other's windows."""
+    rng = random.Random(10)
+    shared = sentence(rng, 20)
+    for own in (None, 7):
+        rows = spark.createDataFrame([(own, f"{sentence(rng, 3)} {shared}") for _ in range(40)] + [(9, shared)], "doc_id long, text string")
+        got = substring.remove_repeats(rows, block_bytes=20, bucket_bytes=20).collect()
+        assert sorted(len(r["text"].split()) for r in got) == [0] + [23] * 40
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(400):

@@ -1,6 +1,7 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length word window.
 
-Documents are dealt into blocks by a hash of their id. Each block sends its
+Documents are dealt into blocks of about ``BLOCK_BYTES`` by a hash of id and
+text, so rows without an id spread like all others. Each block sends its
 distinct window hashes, sorted and packed by hash bucket, together with the
 smallest document that has them; a bucket finds the hashes that several blocks
 have and tells each block but the one with the smallest document. So a window
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.arrays import MULTIPLIERS, Rolling, U, joined, slices, text_column, word_hashes, words
-from tickloom.llm.tables import lean, narrowed
+from tickloom.llm.tables import lean, narrowed, text_bytes
 
-BLOCK_ROWS = 1500
-BUCKET_ROWS = 4000
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 LOWEST = -(1 << 63)
 _windows = Rolling(MULTIPLIERS[1])
 
@@ -71,15 +73,15 @@ def send(window: int, buckets: int):
         names, index = np.unique(least, return_inverse=True)
         bucket = distinct % U(buckets)
         deal = np.lexsort((index, bucket))
-        cut = np.searchsorted(bucket[deal], np.arange(buckets + 1, dtype=U))
-        full = np.flatnonzero(np.diff(cut))
+        full, begin = np.unique(bucket[deal], return_index=True)
+        own = np.split(deal, begin[1:]) if len(full) else []
         block = table.column("block")[0].as_py()
         return pa.table(
             {
-                "bucket": pa.array(full, pa.int64()),
+                "bucket": pa.array(full.astype(np.int64), pa.int64()),
                 "block": pa.array(np.full(len(full), block), pa.int64()),
-                "hashes": pa.array([distinct[deal[cut[b] : cut[b + 1]]].tobytes() for b in full], pa.binary()),
-                "docs": pa.array([packed(names, index[deal[cut[b] : cut[b + 1]]]) for b in full], pa.binary()),
+                "hashes": pa.array([distinct[x].tobytes() for x in own], pa.binary()),
+                "docs": pa.array([packed(names, index[x]) for x in own], pa.binary()),
             }
         )
 
@@ -180,16 +182,17 @@ def kept(part: pa.RecordBatch, gone: np.ndarray, window: int, docs: pa.Table) ->
     return pa.table([part.column("doc_id"), pa.array(row_end - row_start), intervals, texts], schema=kept_schema(docs))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, intervals (first and last removed word of each maximal run), text (what is left), one row per row.
 
     Removed is each word covered by a window that also starts in a document with a smaller id.
+    Blocks, buckets and tasks grow in number with the bytes of the texts, not in size.
     """
-    rows = docs.count()
-    blocks, buckets = max(8, -(-rows // block_rows)), max(16, -(-rows // bucket_rows))
+    total = text_bytes(docs, text_col)
+    blocks, buckets = max(8, -(-total // block_bytes)), max(16, -(-total // bucket_bytes))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = narrowed(docs, doc_id=id_col, text=text_col).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    dealt = narrowed(docs, doc_id=id_col, text=text_col).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(tasks, "block")
     sent = dealt.groupBy("block").applyInArrow(lean(send(window, buckets)), "bucket long, block long, hashes binary, docs binary")
-    told = sent.groupBy("bucket").applyInArrow(lean(compare), "block long, hashes binary")
+    told = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lean(compare), "block long, hashes binary")
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean(remove(window)), f"doc_id {kind}, n_words long, intervals array<struct<first: long, last: long>>, text string")
