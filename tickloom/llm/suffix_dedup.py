@@ -50,6 +50,7 @@ from tickloom.llm.tables import lean, narrowed, text_bytes, written
 
 BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 HOT = 512
 BATCH_RUNS = 1024
 WIDTH = 8
@@ -401,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32, id_col: str
     total = text_bytes(docs, text_col)
     blocks, buckets = max(8, -(-total // block_bytes)), max(16, -(-total // bucket_bytes))
     dealt = narrowed(docs, doc_id=id_col, text=text_col, rest=F.struct(*carry) if carry else F.lit(True)).withColumn("key", F.xxhash64("text")).withColumn("block", F.pmod(F.when(F.col("doc_id").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)))
-    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    dealt = dealt.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)), "block")
     kind = dict(dealt.dtypes)
     sent = dealt.groupBy("block").applyInArrow(lean(send(length, k, buckets)), "kind int, bucket long, block long, runs binary, more binary")
     told = sent.groupBy("kind", "bucket").applyInArrow(lean(compare), TOLD)
