@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
-from tickloom.functions.statistics import adf, adf_p_value, bounded_minimum, phi, t_cdf
+from tickloom.functions.statistics import adf, adf_p_value, bounded_minimum, phi, phi_column, t_cdf
 from tickloom.operators import bars, breaks, clusters, entropy, evaluation, fracdiff, labeling, learning, microstructure, portfolio, sampling, validation, weights
 
 
@@ -195,7 +195,7 @@ def test_bet_queries_take_every_series(spark):
     from tickloom.plans import models
 
     d = "/root/testdata/sf0.001"
-    bets = models.all_bets(spark, d).toPandas()
+    bets = models.bets(spark, d).toPandas()
     sizes, signals = (models.ENTRIES[f][0](spark, d).toPandas() for f in ("bet_size_mixture", "get_signal"))
     assert bets["k"].nunique() > 1 and len(sizes) == len(bets)
     for k, own in bets.groupby("k"):
@@ -305,3 +305,12 @@ def test_fractional_difference_is_one_rule_for_all_lengths(spark, monkeypatch):
     assert np.allclose(got[0]["value"], got[1]["value"])
     with pytest.raises(ValueError):
         fracdiff.get_weights_ffd(0.1, 1e-6, 100)
+
+
+def test_normal_distribution_column(spark):
+    values = [None, float("nan"), 0.0, -0.0, 1e-9, 37.5, -40.0, 7.0710678, 7.0710679, float("inf"), float("-inf")] + [i / 16 for i in range(-140, 141)]
+    for x, got in spark.createDataFrame([(v,) for v in values], "x double").select("x", phi_column(F.col("x"))).collect():
+        if x is None or math.isnan(x):
+            assert got is None if x is None else math.isnan(got)
+        else:
+            assert got == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), rel=1e-9, abs=1e-18)

@@ -245,12 +245,13 @@ def target(spark, d):
     return hourly(spark, d).select("k", "ts", (F.col("high") / F.col("low") - 1).alias("volatility"))
 
 
-@query(
-    f"""WITH RECURSIVE {H}, x AS MATERIALIZED (SELECT k, ts, i, close / lag(close) OVER (PARTITION BY k ORDER BY ts) - 1 AS ret FROM hb)
+VOL = """x AS MATERIALIZED (SELECT k, ts, i, close / lag(close) OVER (PARTITION BY k ORDER BY ts) - 1 AS ret FROM hb)
     , p AS (SELECT k, i, ts, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS w, 0::DOUBLE AS w2 FROM x WHERE i = 0
             UNION ALL SELECT x.k, x.i, x.ts, p.a * (1 - 2.0::DOUBLE / 101) + x.ret, p.b * (1 - 2.0::DOUBLE / 101) + x.ret * x.ret, p.w * (1 - 2.0::DOUBLE / 101) + 1, p.w2 * (1 - 2.0::DOUBLE / 101) ** 2 + 1 FROM p JOIN x ON x.k = p.k AND x.i = p.i + 1)
-    SELECT k, ts, CASE WHEN i = 0 THEN NULL WHEN i = 1 THEN 0.0 ELSE {r('sqrt((b / w - (a / w) ** 2) * w * w / (w * w - w2)) AS z').removesuffix(' AS z')} END AS volatility FROM p"""
-)
+    , vol AS MATERIALIZED (SELECT k, ts, CASE WHEN i = 0 THEN NULL WHEN i = 1 THEN 0.0 ELSE sqrt((b / w - (a / w) ** 2) * w * w / (w * w - w2)) END AS volatility FROM p)"""
+
+
+@query(f"WITH RECURSIVE {H}, {VOL} SELECT k, ts, {r('volatility')} FROM vol")
 def daily_volatility(spark, d):
     return labeling.daily_volatility(hourly(spark, d), 100, K)
 
@@ -265,9 +266,9 @@ def fixed_time_horizon(spark, d):
     return labeling.fixed_time_horizon(hourly(spark, d), 5, 0.1, K)
 
 
-def barrier_sql(out: str, vertical: int | None = 20, pt: float = 1.0, sl: float = 1.0, side: str = "1") -> str:
+def barrier_sql(out: str, vertical: int | None = 20, pt: float = 1.0, sl: float = 1.0, side: str = "1", events: str = "ev", trgt: str = "high / low - 1", least: float = 0.5, more: str = "") -> str:
     last = f"least(ev.i + {vertical}, ev.n - 1)" if vertical else "ev.n - 1"
-    return f"""WITH {H}, e AS (SELECT ev.k, ev.ts, ev.i, ev.n, ev.close AS p0, high / low - 1 AS trgt, {side} AS side, {last} AS vi FROM ev WHERE high / low - 1 > 0.5)
+    return f"""WITH RECURSIVE {H}{more}, e AS (SELECT ev.k, ev.ts, ev.i, ev.n, ev.close AS p0, {trgt} AS trgt, {side} AS side, {last} AS vi FROM {events} WHERE {trgt} > {least})
     , hit AS (SELECT e.k, e.i, min(b.ts) FILTER (WHERE (b.close / p0 - 1) * side < -{sl} * trgt) AS sl_ts, min(b.ts) FILTER (WHERE (b.close / p0 - 1) * side > {pt} * trgt) AS pt_ts
               FROM e JOIN hb b ON b.k = e.k AND b.i BETWEEN e.i AND least(vi + 1, e.n - 1) GROUP BY 1, 2)
     , got AS (SELECT e.*, least(v.ts, sl_ts, pt_ts) AS t1 FROM e JOIN hit USING (k, i) JOIN hb v ON v.k = e.k AND v.i = vi)
@@ -321,7 +322,7 @@ def get_bins_meta(spark, d):
     return labeling.get_bins_meta(sided(spark, d), hourly(spark, d), K)
 
 
-@query()
+@query(barrier_sql(f"k, ts, t1, {r('ret')}, sign(ret)::TINYINT AS label FROM bins", events="ev JOIN vol ON vol.k = ev.k AND vol.ts = ev.ts", trgt="volatility", least=0.0, more=f", {VOL}"))
 def triple_barrier_labels(spark, d):
     return labeling.triple_barrier_labels(hourly(spark, d), event_rows(spark, d), 1.0, 20, keys=K)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import DataFrame
@@ -35,6 +38,12 @@ def returns(spark, d) -> DataFrame:
     return b.select("k", "ts", (F.col("close") / F.lag("close").over(evaluation.over(K, ["ts"])) - 1).alias("ret")).where("ret IS NOT NULL")
 
 
+def phi_sql(z: str) -> str:
+    """The normal distribution function in SQL: its series in odd powers over double factorials."""
+    c = f"greatest(-8.0, least(8.0, {z}))::DOUBLE"
+    return f"(0.5 + sign({c}) * exp(-pow({c}, 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda j: exp((2 * j + 1) * ln(greatest(abs({c}), 1e-300)) - (j + 1) * ln(2.0) - lgamma(j + 1.5) + 0.5 * ln(pi())))))"
+
+
 # Fractional differentiation.
 
 
@@ -108,22 +117,43 @@ def plug_in(spark, d):
     return entropy.plug_in(binary(spark, d), 3, K)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {MSG}, f AS (SELECT k, message, 1::BIGINT AS pos, []::VARCHAR[] AS seen FROM msg
+            UNION ALL SELECT k, message, pos + size, list_append(seen, substr(message, pos, size)) FROM (
+              SELECT *, list_filter(range(1, length(message) - pos + 2), lambda m: NOT list_contains(seen, substr(message, pos, m)))[1] AS size FROM f) WHERE size IS NOT NULL)
+    SELECT k, array_to_string(arg_max(seen, len(seen)), ' ') AS phrases FROM f GROUP BY k"""
+)
 def lempel_ziv_lib(spark, d):
-    return binary(spark, d).select("k", entropy.lempel_ziv_lib("message").alias("phrases"))
+    return binary(spark, d).select("k", F.array_join(entropy.lempel_ziv_lib("message"), " ").alias("phrases"))
 
 
-@query()
+def konto_sql(window: int | None = None) -> str:
+    """CTE kon (k, num, sum, h, r) over msg: longest matches in the letters before each place, by trying all sizes."""
+    width = f"least({window}, length(message) // 2)"
+    points = f"range({width}, length(message) - {width} + 1)" if window else "range(1, length(message) // 2 + 1)"
+    return f"""pts AS (SELECT k, message, length(message) AS n, {width if window else "NULL"} AS fixed, unnest({points}) AS i FROM msg)
+    , wide AS (SELECT *, coalesce(fixed, i) AS w FROM pts)
+    , lens AS (SELECT k, n, w, 1 + coalesce(list_max(list_filter(range(1, w + 1), lambda m: i + m <= n AND contains(substr(message, i - w + 1, w + m - 1), substr(message, i + 1, m)))), 0) AS size FROM wide)
+    , kon AS (SELECT k, count(*) AS num, sum(log2(w + 1) / size) AS sum, sum(log2(w + 1) / size) / count(*) AS h, 1 - sum(log2(w + 1) / size) / count(*) / log2(any_value(n)) AS r FROM lens GROUP BY k)"""
+
+
+def quartile_sql(rows: str, value: str, order: str) -> str:
+    """CTE msg (k, message): how many of the inner quartiles are below each value."""
+    return f"""edges AS (SELECT k, list_sort(list_distinct(quantile_cont({value}, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS e FROM {rows} GROUP BY k)
+    , msg AS MATERIALIZED (SELECT k, string_agg(len(list_filter(e[2:len(e) - 1], lambda x: x < {value}))::VARCHAR, '' ORDER BY {order}) AS message FROM {rows} JOIN edges USING (k) WHERE {value} IS NOT NULL GROUP BY k)"""
+
+
+@query(f"WITH {MSG}, {konto_sql(50)} SELECT k, num, {r('sum', 'h', 'r')} FROM kon")
 def konto(spark, d):
     return binary(spark, d).withColumn("x", entropy.konto("message", 50)).select("k", "x.num", "x.sum", "x.h", "x.r")
 
 
-@query()
+@query(f"WITH {RET}, {quartile_sql('rets', 'ret', 'ts')}, {konto_sql()} SELECT k, {r('h AS entropy_rate', 'r AS redundancy')} FROM kon")
 def market_efficiency(spark, d):
     return entropy.market_efficiency_metric(returns(spark, d), "quantile", 4, keys=K)
 
 
-@query()
+@query(f"WITH {market.BUCKETS}, shares AS (SELECT k, bucket, buy_volume / nullif(buy_volume + sell_volume, 0) AS share FROM full_), {quartile_sql('shares', 'share', 'bucket')}, {konto_sql(20)} SELECT k, {r('h')} FROM kon")
 def adverse_selection(spark, d):
     flow = market.microstructure.volume_bucket(market.ticks(spark, d), 500, K, market.O).withColumn("volume", F.col("buy_volume") + F.col("sell_volume"))
     return entropy.adverse_selection_feature(flow, 4, 20, keys=K, order=["bucket"])
@@ -314,12 +344,16 @@ def psr_z(spark, d):
     return moments(spark, d).select("k", evaluation.psr_z("sr", 0.0, "n", "g3", "g4").alias("z"))
 
 
-@query()
+@query(f"WITH {MOM}, z AS (SELECT k, sr * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) AS z FROM g) SELECT k, {r(phi_sql('z') + ' AS psr')} FROM z")
 def probabilistic_sharpe_ratio(spark, d):
     return moments(spark, d).select("k", evaluation.probabilistic_sharpe_ratio("sr", 0.0, "n", "g3", "g4").alias("psr"))
 
 
-@query()
+#: What the best of five standard normal values leads one to expect; the series are the five event types.
+BEST_OF_5 = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 5) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (5 * math.e))
+
+
+@query(f"WITH {MOM}, z AS (SELECT k, (sr - stddev_samp(sr) OVER () * {BEST_OF_5}) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) AS z FROM g) SELECT k, {r(phi_sql('z') + ' AS dsr')} FROM z")
 def deflated_sharpe_ratio(spark, d):
     got = moments(spark, d).orderBy("k").toPandas()
     rows = [(x.k, evaluation.deflated_sharpe_ratio(x.sr, got["sr"].tolist(), int(x.n), x.g3, x.g4)) for x in got.itertuples()]
@@ -405,18 +439,18 @@ def discrete_signal(spark, d):
     return bets(spark, d).select("k", "ts", scalars.discrete_signal("signal", 0.03).alias("signal"))
 
 
-@query()
+@query(f"WITH {BETS.replace('- 0.5 AS signal', '+ 0.02 AS prob')}, raw AS MATERIALIZED (SELECT k, ts, t1, prob, 2 * {phi_sql('(prob - 0.5) / sqrt(prob * (1 - prob))')} - 1 AS signal FROM bets), tm AS (SELECT k, ts FROM raw UNION SELECT k, t1 FROM raw), act AS (SELECT tm.k, tm.ts, avg(signal) AS signal FROM tm JOIN raw ON raw.k = tm.k AND raw.ts <= tm.ts AND tm.ts < raw.t1 GROUP BY tm.k, tm.ts) SELECT k, ts, {r('greatest(-1, least(1, round_even(signal / 0.05, 0) * 0.05)) AS signal')} FROM act")
 def get_signal(spark, d):
     rows = bets(spark, d).withColumn("prob", F.col("signal") + 0.52)
     return evaluation.get_signal(rows, 0.05, "prob", 2, keys=K)
 
 
-@query()
+@query(f"WITH {BETS}, s AS (SELECT k, ts, 2 * (0.4 * {phi_sql('(hour(ts) - 12 + 3) / 2.0')} + 0.6 * {phi_sql('(hour(ts) - 12 - 4) / 3.0')}) - 1 AS size FROM bets) SELECT k, ts, {r('greatest(-1, least(1, size)) AS size')} FROM s")
 def bet_size_mixture(spark, d):
     return bets(spark, d).select("k", "ts", evaluation.bet_size_mixture(F.hour("ts") - 12, -3.0, 4.0, 2.0, 3.0, 0.4).alias("size"))
 
 
-@query()
+@query(f"WITH a AS (SELECT p / 20.0 AS prob, atan((p / 20.0 - 0.5) / sqrt(p / 20.0 * (1 - p / 20.0) / 10) / 3) AS t, atan(p / 5.0 / 2) AS u FROM range(1, 20) g(p)) SELECT {r('prob', '2 / pi() * (t + sin(t) * (cos(t) + 2 / 3.0 * pow(cos(t), 3) + 8 / 15.0 * pow(cos(t), 5) + 48 / 105.0 * pow(cos(t), 7))) AS size', '0.5 + sin(u) * (1 + 0.5 * pow(cos(u), 2)) / 2 AS t_cdf')} FROM a")
 def bet_size_ensemble(spark, d):
     return spark.createDataFrame([(p / 20, evaluation.bet_size_ensemble(p / 20, 10), t_cdf(p / 5, 4)) for p in range(1, 20)], "prob double, size double, t_cdf double")
 
@@ -464,7 +498,7 @@ def mix_gaussians(spark, d):
     return evaluation.mix_gaussians(spark, 0.05, -0.1, 0.05, 0.1, 0.75, 2600, seed=42).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ret") > 0).cast("int")).alias("gains"))
 
 
-@query()
+@query(f"WITH {RET}, m AS (SELECT k, avg(ret) FILTER (WHERE ret > 0) AS u, avg(ret) FILTER (WHERE ret <= 0) AS s, avg((ret > 0)::INT) AS p FROM rets GROUP BY k), q AS (SELECT *, (260 + 1) * pow(u - s, 2) AS a, (2 * 260 * s - (u - s)) * (u - s) AS b, 260 * s * s AS c FROM m), z AS (SELECT k, ((-b + sqrt(b * b - 4 * a * c)) / (2 * a) - p) / sqrt(p * (1 - p) / 260) AS z FROM q) SELECT k, {r(phi_sql('z') + ' AS prob')} FROM z")
 def prob_failure(spark, d):
     return evaluation.prob_failure(returns(spark, d), 260, 1.0, K)
 
@@ -652,9 +686,12 @@ def max_noise_eigenvalue(spark, d):
     return spark.createDataFrame([portfolio.find_max_eval(values, 500 / 12, 0.05)], "e_max double, var double")
 
 
-@query()
+@query(f"WITH {market.GAPS}, c AS (SELECT ts, close, close - gap AS rolled, lag(close) OVER (ORDER BY ts) AS c0, lag(close - gap) OVER (ORDER BY ts) AS r0 FROM gaps), p AS (SELECT ts, (rolled - r0) / c0 AS returns FROM c), q AS (SELECT *, product(1 + returns) OVER (ORDER BY ts) AS level FROM p) SELECT ts, {r('returns')}, CASE WHEN returns IS NOT NULL THEN {r('level / pow(10, floor(log10(abs(level)))) AS x').removesuffix(' AS x')} END AS mantissa, CASE WHEN returns IS NOT NULL THEN floor(log10(abs(level))) END AS exponent FROM q")
 def roll_prices(spark, d):
-    return market.futures.roll_and_rebase(market.contract_days(spark, d)).select("ts", "returns", F.col("r_prices").isNotNull().alias("priced"))
+    """The prices as a number from 1 to 10 and a power of ten, as they grow without bound."""
+    level = F.col("r_prices")
+    rows = market.futures.roll_and_rebase(market.contract_days(spark, d)).select("ts", "returns", level, F.floor(F.log10(F.abs(level))).cast("double").alias("exponent"))
+    return rows.select("ts", "returns", (level / F.pow(F.lit(10.0), "exponent")).alias("mantissa"), "exponent")
 
 
 @query()
@@ -712,7 +749,7 @@ def pandas_obj(spark, d):
     return dispatch.pandas_obj(daily(spark, d), lambda pdf: pdf.assign(close=pdf["close"] * 2), "ts timestamp, close double", "ts", 4)
 
 
-@query()
+@query(f"WITH RECURSIVE nw AS (SELECT id, (id + 1) / 20.0 AS p, 0::DOUBLE AS x, 0 AS step FROM range(18) g(id) UNION ALL SELECT id, p, x - ({phi_sql('x')} - p) * sqrt(2 * pi()) * exp(x * x / 2), step + 1 FROM nw WHERE step < 30), z AS (SELECT id, x, id / 4.0 - 2 AS v, atan((id / 4.0 - 2) / sqrt(5)) AS u FROM nw WHERE step = 30) SELECT id, {r(phi_sql('v') + ' AS cdf', 'x AS ppf', '0.5 + (u + sin(u) * (cos(u) + 2 / 3.0 * pow(cos(u), 3))) / pi() AS t')} FROM z")
 def sql_functions(spark, d):
     register(spark)
     return spark.sql("SELECT id, norm_cdf(id / 4D - 2) AS cdf, norm_ppf((id + 1) / 20D) AS ppf, t_cdf(id / 4D - 2, 5D) AS t FROM range(18)")
