@@ -35,7 +35,7 @@ def phi_column(x: Column) -> Column:
         top, bottom = (reduce(lambda out, c: out * z + c, row[1:], F.lit(row[0])) for row in HART)
         far = reduce(lambda out, k: z + k / out, (4, 3, 2, 1), z + 0.65) * math.sqrt(2 * math.pi)
         tail = F.exp(-z * z / 2) * F.when(z < 7.07106781186547, top / bottom).otherwise(1 / far)
-        return F.when(F.isnan(v), F.lit(float("nan"))).otherwise(F.when(v > 0, 1 - tail).otherwise(tail))
+        return F.when(F.isnan(v), v).when(v > 0, 1 - tail).when(v <= 0, tail)  # of null, null
 
     return F.transform(F.array(x), of)[0]  # the argument is computed once, however long its expression is
 
