@@ -268,6 +268,33 @@ def test_gray_index():
     assert sorted(gray_rank(np.arange(256, dtype=np.uint64) ^ (np.arange(256, dtype=np.uint64) >> np.uint64(1))).tolist()) == list(range(256))
 
 
+@pytest.mark.parametrize(("chunk", "most"), [(2048, 1 << 20), (7, 50), (64, 300)])
+def test_gray_index_links_what_all_pairs_link(chunk, most):
+    rng = np.random.default_rng(2)
+    for radius in (0, 2, 7):
+        centre = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+        flips = [np.where(rng.random(500) < 0.5, np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64), np.uint64(0)) for _ in range(8)]
+        codes = rng.permutation(np.unique(centre[rng.integers(0, 20, 500)] ^ np.bitwise_xor.reduce(flips)))
+        group = rng.integers(0, 3, len(codes))
+        label = GrayIndex(codes, group).linked(radius, chunk, most)
+        want = reach(len(codes), lambda a, b: group[a] == group[b] and (codes[a] ^ codes[b]).bit_count() <= radius)  # noqa: B023
+        assert len(set(label.tolist())) == len(set(want)) == len(set(zip(label.tolist(), want, strict=True)))
+
+
+def test_gray_index_does_not_meet_all_pairs_of_a_cluster(monkeypatch):
+    rng, met, search = np.random.default_rng(3), [], GrayIndex.unlike
+    flips = [np.where(rng.random(20_000) < 0.5, np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64), np.uint64(0)) for _ in range(8)]
+    codes = np.unique(np.bitwise_xor.reduce(flips))
+
+    def counted(self, queries, *rest):
+        found = search(self, queries, *rest)
+        met.append(0 if found is None else len(found[0]))
+        return found
+
+    monkeypatch.setattr(GrayIndex, "unlike", counted)
+    assert len(np.unique(GrayIndex(codes).linked(7))) == 1 and sum(met) < 10 * len(codes)
+
+
 def fingerprint(text):
     w = WORD.findall((text or "").translate(LOWER))
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), seed=42) for k in range(max(1, len(w) - 2))] if w else []
@@ -295,6 +322,20 @@ def test_simhash_groups(docs, nothing, texts, monkeypatch):
     assert simhash.groups(nothing).collect() == []
 
 
+@pytest.mark.parametrize("hot", [0, 300, simhash.HOT])
+def test_simhash_links_at_larger_radii(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(16)
+    codes = [rng.getrandbits(64) for _ in range(40)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for c in rng.choices(codes, k=260)]
+    codes = sorted(c - (c >> 63 << 64) for c in set(codes))
+    table = spark.createDataFrame([(c,) for c in codes], "code long")
+    for radius in (3, 7):
+        got = {r["node"]: r["root"] for r in components.components(simhash.links(table, len(codes), radius)).collect()}
+        want = reach(len(codes), lambda a, b: ((codes[a] ^ codes[b]) & (1 << 64) - 1).bit_count() <= radius)  # noqa: B023
+        assert [got.get(c, c) for c in codes] == [codes[i] for i in want]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]

@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 import corpus_pipeline
 from tickloom.llm.tables import written
 
@@ -25,3 +27,29 @@ def test_stages_keep_odd_rows_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
         assert stage(spark, docs, sf_dir).count() > 0
+
+
+def fingerprint(text):
+    w = text.split(" ")
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 2]), seed=42) for k in range(max(1, len(w) - 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_copies_are_those_that_fingerprints_link(spark):
+    rng, texts = random.Random(2), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 30, 120]))]
+        for edits in (0, 0, 1, 2, 4, 8, 16):
+            texts.append(" ".join(f"edit{rng.random()}" if k in rng.sample(range(len(words)), min(edits, len(words))) else w for k, w in enumerate(words)))
+    rng.shuffle(texts)
+    codes, label = [fingerprint(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (codes[a] ^ codes[b]).bit_count() <= corpus_pipeline.NEAR_BITS and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    again = [(0, texts[0], "en", "a", 1), (len(rows), texts[0], "en", "a", 1), (len(rows), "a text of its own under an id that comes twice", "en", "a", 1), (None, texts[0], "en", "a", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows + again, COLUMNS), "").collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, *sorted(set(label)), len(rows)]
+    assert 40 < len(set(label)) < 200

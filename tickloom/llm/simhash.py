@@ -3,11 +3,12 @@
 Fingerprints that differ in ``radius`` bits or fewer agree in at least one of
 ``radius + 1`` parts of their bits. Distinct fingerprints are dealt by part and
 value, so all links lie within groups; each task indexes its groups in Gray
-order (``gray_index``) and sends one link per linked fingerprint, to the
-smallest of those it found connected, never all pairs. Groups of more than
-``HOT`` fingerprints are dealt anew by all choices of ``FINE - radius`` of
-``FINE`` parts, which bounds a group by the values of the remaining bits.
-Components of these links are those of all links.
+order (``gray_index``) and sends one link per linked fingerprint, to one of
+those it found connected, never all pairs. Groups of more than ``HOT``
+fingerprints (fewer at a radius over 2, where an index leaves out less) are
+dealt anew by all choices of ``FINE - radius`` of ``FINE`` parts (of
+``radius + 2`` at larger radii), which bounds a group by the values of the
+remaining bits. Components of these links are those of all links.
 
 A null text is empty; its fingerprint is zero, linked like any other. Equal
 fingerprints are linked at distance 0, whatever their number, by grouping.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -103,25 +105,29 @@ def links(codes: DataFrame, rows: int, radius: int = 2, bits: int = 64) -> DataF
     """Edges (a, b) that connect distinct codes (column ``code``) as all links at ``radius`` or less do."""
     buckets = max(16, -(-(radius + 1) * rows // BUCKET_ROWS))
     keyed = dealt(codes, cut(bits, radius + 1))
-    hot = written(keyed.groupBy("part", "value").count().where(F.col("count") > HOT).select("part", "value"), "hot")
+    most, fine_parts = HOT // comb(max(radius, 2), 2), max(FINE, radius + 2)
+    hot = written(keyed.groupBy("part", "value").count().where(F.col("count") > most).select("part", "value"), "hot")
     if not hot.isEmpty():
-        few = [sum(m) for m in combinations(cut(bits, FINE), FINE - radius)]
+        few = [sum(m) for m in combinations(cut(bits, fine_parts), fine_parts - radius)]
         fine = dealt(keyed.join(hot, ["part", "value"], "left_semi").select("code").distinct(), few)
-        keyed = keyed.join(hot, ["part", "value"], "left_anti").unionByName(fine.withColumn("part", F.col("part") + FINE))
+        keyed = keyed.join(hot, ["part", "value"], "left_anti").unionByName(fine.withColumn("part", F.col("part") + fine_parts))
 
     def connect(table: pa.Table) -> pa.Table:
-        part, codes = table.column("part").to_numpy(), table.column("code").to_numpy().view(U)
-        out = [np.empty((2, 0), np.int64)]
-        for p in np.unique(part):
-            own = np.unique(codes[part == p])
-            label = joined_labels(len(own), GrayIndex(own).within(own, radius))
-            moved = np.flatnonzero(label != np.arange(len(own)))
-            out.append(np.stack([own[moved].view(np.int64), own[label[moved]].view(np.int64)]))
-        a, b = np.concatenate(out, axis=1)
-        return pa.table({"a": a, "b": b})
+        part, value, codes = (table.column(c).to_numpy() for c in ("part", "value", "code"))
+        # The rows of a part and value are a group; those alone in theirs have no links here.
+        order = np.lexsort((codes, value, part))
+        part, value, codes = part[order], value[order], codes[order].view(U)
+        new = np.append(True, (part[1:] != part[:-1]) | (value[1:] != value[:-1]))
+        again = np.append(False, (codes[1:] == codes[:-1]) & ~new[1:])
+        group, codes = np.cumsum(new)[~again], codes[~again]
+        some = np.bincount(group)[group] > 1
+        group, codes = group[some], codes[some]
+        label = GrayIndex(codes, group).linked(radius) if len(codes) else np.empty(0, np.int64)
+        moved = np.flatnonzero(label != np.arange(len(codes)))
+        return pa.table({"a": codes[moved].view(np.int64), "b": codes[label[moved]].view(np.int64)})
 
     bucket = F.pmod(F.xxhash64("part", "value"), F.lit(buckets)).alias("bucket")
-    return keyed.select("part", "code", bucket).groupBy("bucket").applyInArrow(lean(connect), "a long, b long")
+    return keyed.select("part", "value", "code", bucket).groupBy("bucket").applyInArrow(lean(connect), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
