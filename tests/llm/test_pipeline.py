@@ -53,3 +53,31 @@ def test_near_copies_are_those_that_fingerprints_link(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows + again, COLUMNS), "").collect()
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, *sorted(set(label)), len(rows)]
     assert 40 < len(set(label)) < 200
+
+
+def join_rows(spark):
+    """Most rows that each SQL execution so far has had out of a join, by its number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    listed = store.executionsList()
+    for e in (listed.apply(i) for i in range(listed.size())):
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                said = values.get(m.accumulatorId())
+                if "Join" in node.name() and m.name() == "number of output rows" and said.isDefined():
+                    out[e.executionId()] = max(out.get(e.executionId(), 0), int(said.get().replace(",", "")))
+    return out
+
+
+def test_near_copies_of_one_template_do_not_meet_in_pairs(spark):
+    # Any two texts have about 0.78 of their 5-word shingles in common, and there are 45,000 pairs.
+    rng = random.Random(3)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(171)]
+    texts = [" ".join(template[:86] + [f"own{rng.random()}" for _ in range(19)] + template[86:]) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    before = set(join_rows(spark))
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() >= 1
+    seen = [rows for e, rows in join_rows(spark).items() if e not in before]
+    assert seen and max(seen) <= len(texts)
