@@ -31,11 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of texts whose SimHash fingerprints of 2-word shingles link at NEAR_BITS or fewer differing bits."""
+    """One document, that with the smallest id, of each group of texts linked by one of two SimHash fingerprints of their 2-word shingles, at NEAR_BITS or fewer differing bits."""
     key = ["doc_id", "digest"]
     named = docs.where("doc_id IS NOT NULL").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     # The digest tells texts of a repeated id apart.
-    placed = simhash.groups(named.withColumn("id", F.struct(*key)), shingle=2, radius=NEAR_BITS, id_col="id")
+    placed = simhash.groups(named.withColumn("id", F.struct(*key)), shingle=2, radius=NEAR_BITS, id_col="id", turns=2)
     kept = written(placed.where("doc_id = component_id").select("doc_id.*"), "kept")
     return named.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 

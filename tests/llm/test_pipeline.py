@@ -29,10 +29,16 @@ def test_stages_keep_odd_rows_and_empty_tables(spark):
         assert stage(spark, docs, sf_dir).count() > 0
 
 
-def fingerprint(text):
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def fingerprints(text):
     w = text.split(" ")
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 2]), seed=42) for k in range(max(1, len(w) - 1))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in g) > len(g)) for g in (h, [mixed((x + 1) % 2**64) for x in h])]
 
 
 def test_near_copies_are_those_that_fingerprints_link(spark):
@@ -42,10 +48,10 @@ def test_near_copies_are_those_that_fingerprints_link(spark):
         for edits in (0, 0, 1, 2, 4, 8, 16):
             texts.append(" ".join(f"edit{rng.random()}" if k in rng.sample(range(len(words)), min(edits, len(words))) else w for k, w in enumerate(words)))
     rng.shuffle(texts)
-    codes, label = [fingerprint(t) for t in texts], list(range(len(texts)))
+    codes, label = [fingerprints(t) for t in texts], list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if (codes[a] ^ codes[b]).bit_count() <= corpus_pipeline.NEAR_BITS and label[a] != label[b]:
+            if min((x ^ y).bit_count() for x, y in zip(codes[a], codes[b], strict=True)) <= corpus_pipeline.NEAR_BITS and label[a] != label[b]:
                 low, high = sorted((label[a], label[b]))
                 label = [low if x == high else x for x in label]
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
@@ -55,6 +61,22 @@ def test_near_copies_are_those_that_fingerprints_link(spark):
     assert 40 < len(set(label)) < 200
 
 
+def test_near_copies_are_found_at_the_similarity_they_are_meant_for(spark):
+    # Lone pairs at a 5-word Jaccard similarity of 0.8 and a little more, by edits dealt over the text.
+    rng, texts = random.Random(5), []
+    while len(texts) < 600:
+        words = [f"w{rng.randrange(20_000)}" for _ in range(250)]
+        other = list(words)
+        for _ in range(rng.randint(4, 7)):
+            other[rng.randrange(250)] = f"edit{rng.random()}"
+        x, y = ({tuple(w[k : k + 5]) for k in range(246)} for w in (words, other))
+        if 0.8 * len(x | y) <= len(x & y) <= 0.83 * len(x | y):
+            texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert set(range(0, 600, 2)) <= kept and len(kept) <= 330
+
+
 def join_rows(spark):
     """Most rows that each SQL execution so far has had out of a join, by its number."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()

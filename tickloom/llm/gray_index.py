@@ -18,7 +18,7 @@ import numpy as np
 FAN = 8
 CHUNK = 2048
 SEEDS = 64
-MOST = 1 << 20
+MOST = 1 << 18
 U = np.uint64
 
 

@@ -20,6 +20,7 @@ one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -76,17 +77,25 @@ def majorities(h: np.ndarray, many: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, code (the 64-bit fingerprint as a long)."""
+def code_names(turns: int) -> list[str]:
+    return ["code", *[f"code{t}" for t in range(1, turns)]]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", turns: int = 1) -> DataFrame:
+    """doc_id, code (the 64-bit fingerprint as a long); with more ``turns`` also code1 and so on, fingerprints of the same shingles by other hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                codes = majorities(*shingle_hashes(part, shingle))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+                h, many = shingle_hashes(part, shingle)
+                codes = []
+                for _ in range(turns):
+                    codes.append(pa.array(majorities(h, many).view(np.int64)))
+                    h = mix(h + U(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *codes], ["doc_id", *code_names(turns)])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, code long")
+    return rows.mapInArrow(lean(run), ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", *[f"{c} long" for c in code_names(turns)]]))
 
 
 def cut(bits: int, parts: int) -> list[int]:
@@ -130,15 +139,31 @@ def links(codes: DataFrame, rows: int, radius: int = 2, bits: int = 64) -> DataF
     return keyed.select("part", "value", "code", bucket).groupBy("bucket").applyInArrow(lean(connect), "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, code, component_id (smallest id reachable over links of fingerprints), one row per row."""
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "codes")
-    codes = written(rows.groupBy("code").agg(F.min("doc_id").alias("first")), "distinct-codes")
-    roots = components(links(codes.select("code"), codes.count(), radius)).withColumnsRenamed({"node": "code"})
-    placed = codes.join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", turns: int = 1) -> DataFrame:
+    """doc_id, code, component_id (smallest id reachable over links of fingerprints), one row per row.
+
+    With more ``turns``, texts are linked that any of them links, and there are more columns of codes.
+    """
+    names = code_names(turns)
+    rows = written(fingerprints(docs, shingle, id_col, text_col, turns), "codes")
+    codes = written(rows.groupBy(*names).agg(F.min("doc_id").alias("first")), "distinct-codes")
+    if turns == 1:
+        roots = components(links(codes.select("code"), codes.count(), radius))
+    else:
+        roots = components(reduce(DataFrame.unionByName, [turned(codes, name, radius) for name in names]))
+    placed = codes.join(roots.withColumnsRenamed({"node": "code"}), "code", "left").withColumn("root", F.coalesce("root", "code"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("code", "component_id")
-    return rows.join(named, "code").select("doc_id", "code", "component_id")
+    named = placed.join(least, "root").select(*names, "component_id")
+    return rows.join(named, names).select("doc_id", *names, "component_id")
+
+
+def turned(codes: DataFrame, name: str, radius: int) -> DataFrame:
+    """Edges (a, b) of values of ``code`` that connect what the fingerprints called ``name`` link, one for each row of ``codes`` at most."""
+    own = codes.select(F.col(name).alias("code")).distinct()
+    roots = components(links(own, own.count(), radius))
+    placed = codes.select(F.col("code").alias("a"), F.col(name).alias("node")).join(roots, "node", "left").select("a", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("a").alias("b"))
+    return placed.join(least, "root").where("a <> b").select("a", "b")
 
 
 # Near-duplicates by the similarity of their shingle sets.
