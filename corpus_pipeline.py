@@ -2,22 +2,38 @@
 
 Each stage takes the documents that the one before kept. Ids are taken to be
 unique but for repeated rows; documents with a null id are never taken for
-copies of others.
+copies of others. A stage begins on heaps that have given back what the stages
+before it left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, decontam, simhash, suffix_dedup, toxicity
 from tickloom.llm.queries import table, tokenizer_path
-from tickloom.llm.tables import bound_batches, written
+from tickloom.llm.tables import bound_batches, give_back_heaps, written
 
 NEAR_BITS = 7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Not SQL: the stages fit a model, link fingerprints and encode; tests hold each against a plain version.
 ORACLE_SQL = None
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def afresh(stage: Stage) -> Stage:
+    """``stage``, after ``give_back_heaps``."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +76,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash near-dedup", drop_near_copies),
-    ("suffix-array dedup", drop_repeats),
-    ("benchmark decontamination", drop_contaminated),
-    ("bpe", encode),
+    ("toxicity", afresh(drop_toxic)),
+    ("simhash near-dedup", afresh(drop_near_copies)),
+    ("suffix-array dedup", afresh(drop_repeats)),
+    ("benchmark decontamination", afresh(drop_contaminated)),
+    ("bpe", afresh(encode)),
 ]
 
 

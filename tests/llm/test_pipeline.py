@@ -29,6 +29,16 @@ def test_stages_keep_odd_rows_and_empty_tables(spark):
         assert stage(spark, docs, sf_dir).count() > 0
 
 
+def test_stages_begin_on_heaps_that_have_given_back_what_was_left(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [beans[i] for i in range(len(beans)) if beans[i].getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact")]
+    docs = spark.createDataFrame([(1, "a text", "en", "a", 6)], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in whole)
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert sum(b.getCollectionCount() for b in whole) > before, name
+
+
 def mixed(x):
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64

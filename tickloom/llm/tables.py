@@ -77,6 +77,12 @@ def give_back() -> None:
         pass
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect what earlier work left and return it to the machine; a heap that is not told to keeps all that it ever grew to."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def lean(f: Callable) -> Callable:
     """``f``, a function of Arrow tables or of an iterator of batches, followed by ``give_back``."""
     if len(inspect.signature(f).parameters) == 2:
