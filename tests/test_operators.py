@@ -1,5 +1,6 @@
 """Known values, properties and plain versions of the operators."""
 
+import gc
 import math
 
 import numpy as np
@@ -43,6 +44,56 @@ def test_ruled_bars_keep_volume_and_order(spark):
         assert got["ts"].is_monotonic_increasing and got["vwap"].between(got["low"] - 1e-9, got["high"] + 1e-9).all()
 
 
+#: Bars that a rule closes: the operator on keyed ticks and a new rule for a plain fold.
+RULED = {
+    "volume_runs_bars": (lambda t: bars.volume_runs_bars(t, keys=["k"]), lambda: bars.Runs("volume")),
+}
+
+
+def plain_bars(ticks, rule):
+    """The bars of one series tick by tick."""
+    r, sign, before, rows, out = rule(), 1.0, None, [], []
+    for t in ticks.sort_values(["ts", "seq"]).itertuples():
+        if before is not None and t.price != before:
+            sign = 1.0 if t.price > before else -1.0
+        before = t.price
+        rows.append(t)
+        if r.closes(t.price, t.volume, sign):
+            p, v = [x.price for x in rows], [x.volume for x in rows]
+            out.append((t.k, len(out), t.ts, p[0], max(p), min(p), p[-1], sum(v), sum(x * y for x, y in zip(p, v, strict=True)) / sum(v)))
+            rows = []
+    return out
+
+
+@pytest.mark.parametrize("name", RULED)
+def test_ruled_bars_hold_a_batch_of_a_series(spark, name):
+    f, rule = RULED[name]
+    batch, n, rng = 50, 1500, np.random.default_rng(7)
+
+    class Watched(bars.Rule):
+        def __init__(self):
+            self.rule, self.seen = rule(), 0
+
+        def closes(self, *tick):
+            self.seen += 1
+            if self.seen % 100 == 0 and (most := max(len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame))) > batch:
+                raise MemoryError(f"{most} rows of a series at once")
+            return self.rule.closes(*tick)
+
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 400, n), "s")
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], n), "ts": ts, "seq": rng.permutation(n), "price": 100 + np.round(np.cumsum(rng.normal(size=n)), 1), "volume": rng.integers(1, 9, n).astype(float)})
+    t = spark.createDataFrame(pdf).repartition(3)
+    want = [row for k in ("a", "b") for row in plain_bars(pdf[pdf["k"] == k], rule)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for df in (f(t), bars.ruled_bars(t, Watched, ["k"])):
+            got = sorted(map(tuple, df.collect()))
+            assert len(got) == len(want) > 10 and [x[:7] for x in got] == [x[:7] for x in want]
+            assert np.allclose([x[7:] for x in got], [x[7:] for x in want], rtol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_no_ticks_no_bars(spark):
     none = ticks_of(spark, [1.0], [1.0]).where("false")
     assert bars.volume_bars(none, 10).collect() == [] and bars.tick_bars(none, 10).collect() == [] and bars.time_bars(none, "1 hour").collect() == []

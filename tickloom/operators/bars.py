@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import Names, need, per_series, position, with_tick_sign
+from tickloom.operators.ordered import Names, need, per_batch, position
 
 ORDER = ("ts", "seq")
 BAR = "bar_id long, ts timestamp, open double, high double, low double, close double, volume double, vwap double"
@@ -146,30 +146,41 @@ class Runs(Rule):
         return done
 
 
-def bars_of(pdf: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
-    """Bars of consecutive rows, each up to and with the row of its end."""
-    p, v = pdf["price"].to_numpy(float), pdf["volume"].to_numpy(float)
-    last = np.array(ends, np.int64)
-    first = np.concatenate(([0], last[:-1] + 1))[: len(last)]
-    if not len(last):
-        p, v = p[:0], v[:0]
-        return pd.DataFrame({"bar_id": last, "ts": pdf["ts"].iloc[:0], "open": p, "high": p, "low": p, "close": p, "volume": v, "vwap": v})
-    cut = slice(0, last[-1] + 1)
-    total, money = np.add.reduceat(v[cut], first), np.add.reduceat((p * v)[cut], first)
-    vwap = np.divide(money, total, out=np.zeros(len(total)), where=total > 0)
-    return pd.DataFrame({"bar_id": np.arange(len(last)), "ts": pdf["ts"].to_numpy()[last], "open": p[first], "high": np.maximum.reduceat(p[cut], first), "low": np.minimum.reduceat(p[cut], first), "close": p[last], "volume": total, "vwap": vwap})
+class Fold:
+    """Bars of the ticks of one series, batch by batch: keeps the rule, the open bar's figures, the last price and its sign."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.closes, self.bar, self.bar_id, self.before, self.sign = rule.closes, None, 0, np.nan, 1.0
+
+    def signs(self, price: np.ndarray) -> np.ndarray:
+        """The sign of the last price change that was not zero; 1 before any."""
+        step = np.sign(np.diff(price, prepend=self.before))
+        moved = np.maximum.accumulate(np.where(np.abs(step) > 0, np.arange(len(step)), -1))
+        sign = np.where(moved >= 0, step[moved], self.sign)
+        self.before, self.sign = price[-1], sign[-1]
+        return sign
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, v = pdf["price"].to_numpy(float), pdf["volume"].to_numpy(float)
+        ends = np.array([i for i, x in enumerate(zip(p.tolist(), v.tolist(), self.signs(p).tolist(), strict=True)) if self.closes(*x)], np.int64)
+        first, n = np.concatenate(([0], ends + 1)), len(ends)
+        first = first[first < len(p)]
+        figures = np.stack([p[first], np.maximum.reduceat(p, first), np.minimum.reduceat(p, first), np.add.reduceat(v, first), np.add.reduceat(p * v, first)])
+        if self.bar is not None:
+            (open_, high, low, volume, money), now = self.bar, figures[:, 0]
+            figures[:, 0] = open_, np.maximum(high, now[1]), np.minimum(low, now[2]), volume + now[3], money + now[4]
+        self.bar = figures[:, n].copy() if n < len(first) else None
+        open_, high, low, volume, money = figures[:, :n]
+        vwap = np.divide(money, volume, out=np.zeros(n), where=volume > 0)
+        ids, self.bar_id = np.arange(self.bar_id, self.bar_id + n), self.bar_id + n
+        return pd.DataFrame({"bar_id": ids, "ts": pdf["ts"].to_numpy()[ends], "open": open_, "high": high, "low": low, "close": p[ends], "volume": volume, "vwap": vwap})
 
 
 def ruled_bars(ticks: DataFrame, rule: Callable[[], Rule], keys: Names = ()) -> DataFrame:
     """Bars that a rule closes, folded along each series; only finished bars leave the fold."""
     need(ticks, *keys, "ts", "seq", "price", "volume")
-    rows = with_tick_sign(ticks.select(*keys, "ts", "seq", F.col("price").cast("double"), F.col("volume").cast("double")), keys, ORDER)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        closes = rule().closes
-        return bars_of(pdf, [i for i, x in enumerate(zip(pdf["price"].tolist(), pdf["volume"].tolist(), pdf["sign"].tolist(), strict=True)) if closes(*x)])
-
-    return per_series(rows, keys, ORDER, fold, BAR)
+    rows = ticks.select(*keys, "ts", "seq", F.col("price").cast("double"), F.col("volume").cast("double"))
+    return per_batch(rows, keys, ORDER, lambda: Fold(rule()), BAR)
 
 
 def volume_bars(ticks: DataFrame, threshold: float, keys: Names = ()) -> DataFrame:
