@@ -48,6 +48,7 @@ def test_ruled_bars_keep_volume_and_order(spark):
 RULED = {
     "volume_runs_bars": (lambda t: bars.volume_runs_bars(t, keys=["k"]), lambda: bars.Runs("volume")),
     "dollar_imbalance_bars": (lambda t: bars.dollar_imbalance_bars(t, keys=["k"]), lambda: bars.Imbalance("money")),
+    "volume_imbalance_bars": (lambda t: bars.volume_imbalance_bars(t, keys=["k"]), lambda: bars.Imbalance("volume")),
 }
 
 
