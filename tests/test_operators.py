@@ -51,6 +51,7 @@ RULED = {
     "volume_imbalance_bars": (lambda t: bars.volume_imbalance_bars(t, keys=["k"]), lambda: bars.Imbalance("volume")),
     "tick_imbalance_bars": (lambda t: bars.tick_imbalance_bars(t, keys=["k"]), lambda: bars.Imbalance("ticks")),
     "dollar_runs_bars": (lambda t: bars.dollar_runs_bars(t, keys=["k"]), lambda: bars.Runs("money")),
+    "tick_runs_bars": (lambda t: bars.tick_runs_bars(t, keys=["k"]), lambda: bars.TickRuns()),
 }
 
 
