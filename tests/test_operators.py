@@ -52,6 +52,7 @@ RULED = {
     "tick_imbalance_bars": (lambda t: bars.tick_imbalance_bars(t, keys=["k"]), lambda: bars.Imbalance("ticks")),
     "dollar_runs_bars": (lambda t: bars.dollar_runs_bars(t, keys=["k"]), lambda: bars.Runs("money")),
     "tick_runs_bars": (lambda t: bars.tick_runs_bars(t, keys=["k"]), lambda: bars.TickRuns()),
+    "volume_bars": (lambda t: bars.volume_bars(t, 60, ["k"]), lambda: bars.Sum(60, "volume")),
 }
 
 
