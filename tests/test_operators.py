@@ -53,6 +53,7 @@ RULED = {
     "dollar_runs_bars": (lambda t: bars.dollar_runs_bars(t, keys=["k"]), lambda: bars.Runs("money")),
     "tick_runs_bars": (lambda t: bars.tick_runs_bars(t, keys=["k"]), lambda: bars.TickRuns()),
     "volume_bars": (lambda t: bars.volume_bars(t, 60, ["k"]), lambda: bars.Sum(60, "volume")),
+    "dollar_bars": (lambda t: bars.dollar_bars(t, 6000, ["k"]), lambda: bars.Sum(6000, "money")),
 }
 
 
